@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, packing, simhash
+from kinfold.llm import decontam, labelled, packing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,5 +31,24 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op6_benchmark_decontamination)}
+def _judged(scored: DataFrame, folds: int, held: int, at: float, *more: str) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(labelled.fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), *more)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 4 != 2)
+    return _judged(quality.score(docs, model), 4, 2, 0.7)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: F.crc32(c.cast("string").cast("binary")) % 5 != 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return _judged(scored, 5, 0, 0.5, "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op6_benchmark_decontamination, op8_quality_classifier, op10_toxicity)}
 ORACLES: dict[str, str] = {}
