@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, labelled, packing, quality, simhash, toxicity
+from kinfold.llm import decontam, labelled, packing, pii, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 5, 0, 0.5, "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op6_benchmark_decontamination, op8_quality_classifier, op10_toxicity)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op10_toxicity)}
 ORACLES: dict[str, str] = {}
