@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, labelled, packing, pii, quality, simhash, toxicity
+from kinfold.llm import decontam, labelled, packing, pii, quality, secrets, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op10_toxicity)}
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_best_fit_packing, op4_secret_scan, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op10_toxicity)}
 ORACLES: dict[str, str] = {}
