@@ -184,11 +184,8 @@ def _scan(blocks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = np.cumsum(pa.compute.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = [0, *(np.flatnonzero(np.diff(size // SHARD_BYTES)) + 1).tolist(), len(whole)]
-            for a, b in zip(cuts, cuts[1:]):
-                part = whole.slice(a, b - a)
-                out = _shard([words_of(t) for t in part.column(1).to_pylist()], blocks)
+            for part, words in _shards(whole, 1):
+                out = _shard(words, blocks)
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(out[k], t) for k, t in zip(_OUT, kinds)], ["id", *_OUT])
 
     return run
@@ -209,6 +206,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
     return [*out, spark.sparkContext.broadcast(Queries(held, window))] if held else out
 
 
+def _shards(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    size = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(size // SHARD_BYTES)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        part = batch.slice(a, b - a)
+        yield part, [words_of(t) for t in part.column(column).to_pylist()]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, limit: int = 2) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, the items, and the longest verbatim match (words, place, item).
 
@@ -223,3 +228,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     shape = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, longest long, longest_at long, longest_item string"
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(_blocks(benchmark, item_col, item_text_col, window)), shape)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= limit).alias("contaminated"), "items", "longest", "longest_at", "longest_item")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, limit: int = 1) -> DataFrame:
+    """The rows of docs, all columns, in which windows of fewer than `limit` items occur. Nothing is shuffled."""
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part, words in _shards(whole, column):
+                yield part.filter(pa.array([n < limit for n in _shard(words, blocks)["n_items"]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -116,6 +116,12 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _hash(text: str) -> int:
+    """As Spark's xxhash64 of one string."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def contexts(text: str, start: int, end: int) -> list[int]:
     """Hashes of the lexical patterns around a span: the two words before it, and the word before with the word after."""
     left = text[max(0, start - REACH) : start].lower().split()[-2:]
@@ -123,7 +129,7 @@ def contexts(text: str, start: int, end: int) -> list[int]:
     if not left:
         return []
     forms = ["\x00".join(["L", *left])] if len(left) == 2 else []
-    return [xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass")) - (1 << 63) for f in forms + ["\x00".join(["R", left[-1], *right])]]
+    return [_hash(f) for f in forms + ["\x00".join(["R", left[-1], *right])]]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +143,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = base_spans(text)
                 counts.append([sum(k == i for k, _, _ in spans) for i in range(4)])
                 base.append(joined(spans))
-                keys.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+                keys.append(_hash(text))
                 own = [(k, a, e) for k, a, e in spans] + [(None, a, e) for a, e in candidates(text, spans)] if spans or _DIGIT.search(text) or "@" in text else []
-                found.append([{"kind": k, "start": a, "end": e, "instance": xxhash.xxh64_intdigest(text[a:e].lower().encode("utf-8", "surrogatepass")) - (1 << 63), "patterns": contexts(text, a, e)} for k, a, e in own])
+                found.append([{"kind": k, "start": a, "end": e, "instance": _hash(text[a:e].lower()), "patterns": contexts(text, a, e)} for k, a, e in own])
             cols = [b.column(0), pa.array(keys, pa.int64())] + [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(base, pa.string()), pa.array(found, occurrence)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found"])
@@ -194,3 +200,43 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     both = F.array_sort(F.concat(old, F.col("more")))
     text = F.array_join(F.transform(both, lambda s: F.concat_ws(":", F.element_at(place, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return rows.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.col("more").isNull(), F.col("base")).otherwise(text).alias("spans"))
+
+
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; of spans that overlap the first names the whole."""
+    out, at, name = [], 0, ""
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if a >= at or not name:
+            out += [name, text[at:a]]
+            name = f"[{KINDS[k].upper()}]"
+            at = b
+        else:
+            at = max(at, b)
+    return "".join([*out, name, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", rounds: int = 3) -> DataFrame:
+    """The rows of docs, all columns, with base and discovered spans masked and n_chars, where there is such a column, counted anew.
+
+    The discovered spans come in by a join whose smaller side Spark broadcasts only while it is under its own size limit.
+    """
+    more = materialise(discover(materialise(extract(docs, id_col, text_col)), rounds).select(F.col("id").alias("_more_id"), F.col("key").alias("_more_key"), F.col("more").alias("_more")))
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    joined_ = docs.join(more, docs[id_col].eqNullSafe(F.col("_more_id")) & (key == F.col("_more_key")), "left").select(*docs.columns, "_more")
+    column = docs.columns.index(text_col)
+    count = docs.columns.index(count_col) if count_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for raw, more_ in zip(b.column(column).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                spans = base_spans(raw or "") + [(m["kind"], m["start"], m["end"]) for m in more_ or []]
+                texts.append(masked(raw, spans) if spans else raw)
+            cols = list(b.columns[:-1])
+            cols[column] = pa.array(texts, pa.string())
+            if count is not None:
+                cols[count] = pa.array([None if t is None else len(t) for t in texts], cols[count].type)
+            yield pa.RecordBatch.from_arrays(cols, docs_names)
+
+    docs_names = docs.columns
+    return joined_.mapInArrow(run, docs.schema)

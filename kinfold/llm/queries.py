@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontam, imatch, labelled, packing, pii, quality, secrets, simhash, toxicity, urls
+from kinfold.llm import decontam, imatch, labelled, licences, packing, pii, quality, secrets, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,9 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_best_fit_packing, op4_secret_scan, op5_document_fingerprints, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op10_toxicity)}
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_best_fit_packing, op4_secret_scan, op5_document_fingerprints, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op9_licence_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -51,6 +51,15 @@ def _fingerprints(width: int):
     return run
 
 
+def _keyed(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["id", "key", "fp"])
+
+    return run
+
+
 def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of count segments, such that two fingerprints within the distance differ by
     at most the radius in one segment at least: with distance = k * count + a, the first a + 1 have radius k, the others k - 1."""
@@ -186,3 +195,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = rooted.select("fp", "root").join(whole, "root").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(of, "fp").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the smallest id (then of the smallest hash of the text).
+
+    Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose ids are all null keeps one row.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    fps = materialise(own.mapInArrow(_keyed(width), f"id {kind}, key long, fp long"))
+    distinct = materialise(fps.select("fp").distinct())
+    roots = connected_components(links(distinct, distance)).select(F.col("node").alias("fp"), "root")
+    one = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    kept = one.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.id").alias("_kept_id"), F.col("least.key").alias("_kept_key"))
+    named = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    stay = named.join(kept, named[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    return stay.dropDuplicates([id_col, "_key"]).select(*docs.columns)

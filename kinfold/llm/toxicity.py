@@ -221,3 +221,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
     shape = f"id {kind}, score double, spans array<struct<start:long,end:long,p:double>>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _score(sent)(it), shape).withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, at: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is under `at`. Nothing is shuffled; null and empty texts stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, text in chunks(b, column):
+                yield part.filter(pa.array(tag(tokens(text, words_only=True), sent.value)[0] < at))
+
+    return docs.mapInArrow(run, docs.schema)
