@@ -42,3 +42,92 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     known = roots.unionByName(tops).distinct()
     return known.unionByName(loops.join(known.select("node"), "node", "left_anti"))
+
+
+def family_map(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, family_id): connected components named by the sha256 of their sorted members; an id without edges is a family of one."""
+    roots = connected_components(edges)
+    named = ids.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    label = F.sha2(F.concat_ws("\x00", F.lit("family-component-v1"), F.array_sort(F.collect_list("id"))), 256)
+    return named.join(named.groupBy("root").agg(label.alias("family_id")), "root").select("id", "family_id")
+
+
+def groups_of(edges: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(node, root, size) of components with two nodes or more, over the union of the edge tables; nodes without edges are left out."""
+    both = edges.select("a", "b") if more is None else edges.select("a", "b").unionByName(more.select("a", "b"))
+    roots = connected_components(both)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    return roots.join(sizes, "root").select("node", "root", "size")
+
+
+def identical_edges(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
+    """(a, b): from the smallest id of each key to the others, so that a group of n has n - 1 edges."""
+    least = rows.groupBy(key).agg(F.min(id_col).alias("a"))
+    return rows.join(least, key).where(F.col("a") != F.col(id_col)).select("a", F.col(id_col).alias("b"))
+
+
+def universe_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Undirected edges with both ends known, each once, the smaller end first; self-pairs stay."""
+    known = ids.select("id")
+    both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
+
+
+def graph_summary(families: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files, families, families of several members, their files, the largest, edges."""
+    sizes = families.groupBy("family_id").agg(F.count("*").alias("n"))
+    many = F.col("n") > 1
+    top = sizes.agg(F.sum("n").alias("files"), F.count("*").alias("families"), F.count_if(many).alias("multi_member_families"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("multi_member_files"), F.max("n").alias("largest_family"))
+    return top.crossJoin(edges.agg(F.count("*").alias("edges")))
+
+
+def cross_split_probability(k, p: float, q: float):
+    """That a family of k files has a member in both of two splits of shares p and q, under independent assignment."""
+    return 1 - F.pow(F.lit(1 - p), k) - F.pow(F.lit(1 - q), k) + F.pow(F.lit(1 - p - q), k)
+
+
+def sibling_probability(k, p: float):
+    """That a given member of a family of k has another member in the split of share p."""
+    return 1 - F.pow(F.lit(1 - p), k - 1)
+
+
+def guarded_components(pairs: DataFrame, limit: int = 20) -> DataFrame:
+    """(a, b, score, idx, decision, component): single-linkage merging in order of falling score (ties: falling idx) in which
+    no merge may make a component of more than `limit` nodes. decision: merged, within (both ends already together) or size_guard.
+
+    A merge never crosses an unguarded component, so each of those is worked off on its own, in parallel.
+    """
+    roots = connected_components(pairs)
+    schema = pairs.schema
+    kind = schema["a"].dataType.simpleString()
+    tagged = pairs.select("a", "b", F.col("score").cast("double").alias("score"), F.col("idx").cast("long").alias("idx")).join(roots.withColumnRenamed("node", "a"), "a")
+
+    def merge(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table, sort_keys=[("score", "descending"), ("idx", "descending")]))
+        home: dict = {}
+        group: dict = {}
+        said = []
+        ends = list(zip(table["a"].to_pylist(), table["b"].to_pylist()))
+        for a, b in ends:
+            x, y = home.get(a, a), home.get(b, b)
+            gx, gy = group.get(x, [x]), group.get(y, [y])
+            if x == y:
+                said.append("within")
+            elif len(gx) + len(gy) > limit:
+                said.append("size_guard")
+            else:
+                keep, gone = (x, y) if (-len(gx), x) <= (-len(gy), y) else (y, x)
+                group[keep] = group.get(keep, [keep]) + group.pop(gone, [gone])
+                for n in group[keep]:
+                    home[n] = keep
+                said.append("merged")
+        least = {k: min(v) for k, v in group.items()}
+        final = [least.get(home.get(a, a), a) for a, _ in ends]
+        other = [least.get(home.get(b, b), b) for _, b in ends]
+        cols = {n: table[n] for n in ("a", "b", "score", "idx")} | {"decision": pa.array(said, pa.string()), "component_a": pa.array(final, table["a"].type), "component_b": pa.array(other, table["a"].type)}
+        return pa.table(cols)
+
+    return tagged.groupBy("root").applyInArrow(merge, f"a {kind}, b {kind}, score double, idx long, decision string, component_a {kind}, component_b {kind}")
