@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.functions import music
 from kinfold.runtime import materialise
@@ -33,19 +34,27 @@ def intervals(slotted: DataFrame) -> DataFrame:
     return out.where("gap is not null").select("piece", "seq", music.clip_interval(F.col("m")).alias("melody"), music.clip_interval(F.col("b")).alias("bass"), music.quantise(F.col("gap")).alias("rhythm"), "gap")
 
 
-def ngrams(rows: DataFrame, value: str, n: int, limit: int = 2048, seq: str = "seq") -> DataFrame:
-    """(piece, seq, gram): runs of n values; a piece with more than `limit` runs gives every ceil(runs / limit)-th."""
-    w = Window.partitionBy("piece").orderBy(seq)
-    run = F.array(*(F.lead(value, k).over(w) for k in range(n)))
-    runs = F.count("*").over(Window.partitionBy("piece")) - (n - 1)
-    step = F.greatest(F.lit(1), F.ceil(runs / F.lit(limit)))
-    out = rows.select("piece", F.col(seq).alias("seq"), run.alias("gram"), (F.row_number().over(w) - 1).alias("k"), runs.alias("runs"), step.alias("step"))
-    return out.where("k < runs and k % step = 0").select("piece", "seq", "gram")
+def grams(values: Column, n: int, limit: int = 2048) -> Column:
+    """All runs of n values of an array; of more than `limit` runs every ceil(runs / limit)-th."""
+    runs = F.size(values) - (n - 1)
+    step = F.greatest(F.lit(1), F.ceil(runs / F.lit(limit)).cast("int"))
+    starts = F.when(runs > 0, F.sequence(F.lit(0), F.greatest(runs - 1, F.lit(0)), step)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i + 1, n))
 
 
-def _tokens(grams: DataFrame, group: str, prefix: str) -> DataFrame:
-    text = F.concat(F.lit(prefix), F.array_join(F.transform("gram", lambda x: x.cast("string")), ","))
-    return grams.groupBy("piece", text.alias("token")).agg(F.count("*").alias("tf")).select("piece", F.lit(group).alias("grp"), "token", "tf")
+def _named(runs: Column, prefix: str) -> Column:
+    return F.transform(runs, lambda g: F.concat(F.lit(prefix), F.array_join(F.transform(g, lambda x: x.cast("string")), ",")))
+
+
+def _bag(df: DataFrame, **groups: list[Column]) -> DataFrame:
+    """(piece, grp, token, tf) from arrays of tokens."""
+    entries = [_entries(group, arrays) for group, arrays in groups.items()]
+    each = df.select("piece", F.explode(F.concat(*entries)).alias("e")).select("piece", "e.grp", "e.token")
+    return each.groupBy("piece", "grp", "token").agg(F.count("*").alias("tf"))
+
+
+def _entries(group: str, arrays: list[Column]) -> Column:
+    return F.transform(F.flatten(F.array(*arrays)), lambda t: F.struct(F.lit(group).alias("grp"), t.alias("token")))
 
 
 def half_beats(notes: DataFrame) -> DataFrame:
@@ -56,27 +65,44 @@ def half_beats(notes: DataFrame) -> DataFrame:
     return all_.join(per, ["piece", "slot"], "left").select("piece", "seq", F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
-def motif_tokens(steps: DataFrame) -> DataFrame:
+def _motifs(melody: Column, rhythm: Column) -> Column:
     """Runs of three (interval, rhythm) pairs, every ceil(runs / 2048)-th."""
-    paired = steps.withColumn("pair", F.concat(F.lit("("), F.col("melody"), F.lit(", "), F.col("rhythm"), F.lit(")")))
-    grams = ngrams(paired, "pair", 3)
-    text = F.concat(F.lit("mr3:("), F.array_join("gram", ", "), F.lit(")"))
-    return grams.groupBy("piece", text.alias("token")).agg(F.count("*").alias("tf")).select("piece", F.lit("motif").alias("grp"), "token", "tf")
+    pairs = F.zip_with(melody, rhythm, lambda m, r: F.concat(F.lit("("), m.cast("string"), F.lit(", "), r.cast("string"), F.lit(")")))
+    return F.transform(grams(pairs, 3), lambda g: F.concat(F.lit("mr3:("), F.array_join(g, ", "), F.lit(")")))
+
+
+def step_arrays(steps: DataFrame) -> DataFrame:
+    """(piece, melody, bass, rhythm): the steps of each piece in order, as arrays. A piece is one file, so an array holds one file's steps."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "melody", "bass", "rhythm")))
+    per = steps.groupBy("piece").agg(rows.alias("s"))
+    return per.select("piece", F.col("s.melody").alias("melody"), F.col("s.bass").alias("bass"), F.col("s.rhythm").alias("rhythm"))
+
+
+def motif_tokens(steps: DataFrame) -> DataFrame:
+    return _bag(step_arrays(steps), motif=[_motifs(F.col("melody"), F.col("rhythm"))])
+
+
+def step_bags(steps: DataFrame) -> DataFrame:
+    """Melody, bass, rhythm and motif tokens, from one pass over the step arrays."""
+    m, b, r = F.col("melody"), F.col("bass"), F.col("rhythm")
+    return _bag(
+        step_arrays(steps),
+        melody=[_named(grams(m, n), f"mi{n}:") for n in (2, 3, 4, 5)],
+        bass=[_named(grams(b, n), f"bi{n}:") for n in (2, 3, 4, 5)],
+        rhythm=[_named(grams(r, n), f"r{n}:") for n in (2, 3, 4)],
+        motif=[_motifs(m, r)],
+    )
+
+
+def harmony_bags(notes: DataFrame) -> DataFrame:
+    """Harmony tokens: runs of 2, 4 and 8 half-beat masks in their least transposition, 512 runs at most of each length."""
+    per = half_beats(notes).groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("seq", "mask"))).alias("s")).select("piece", F.col("s.mask").alias("mask"))
+    return _bag(per, harmony=[_named(F.transform(grams(F.col("mask"), n, 512), music.canonical_chroma), f"h{n}:") for n in (2, 4, 8)])
 
 
 def token_bags(notes: DataFrame) -> DataFrame:
     """(piece, grp, token, tf) of all five groups."""
-    steps = intervals(slots(notes))
-    parts = [_tokens(ngrams(steps, "melody", n), "melody", f"mi{n}:") for n in (2, 3, 4, 5)]
-    parts += [_tokens(ngrams(steps, "bass", n), "bass", f"bi{n}:") for n in (2, 3, 4, 5)]
-    parts += [_tokens(ngrams(steps, "rhythm", n), "rhythm", f"r{n}:") for n in (2, 3, 4)]
-    harmony = half_beats(notes)
-    parts += [_tokens(ngrams(harmony, "mask", n, 512).withColumn("gram", music.canonical_chroma(F.col("gram"))), "harmony", f"h{n}:") for n in (2, 4, 8)]
-    parts.append(motif_tokens(steps))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return step_bags(intervals(slots(notes))).unionByName(harmony_bags(notes))
 
 
 def _histogram(rows: DataFrame, bucket: Column, weight: Column, width: int, name: str) -> DataFrame:
@@ -168,6 +194,8 @@ def _top(blocks, k: int):
                     i, d = np.hstack([best_i, np.broadcast_to(ids, d.shape)]), np.hstack([best_d, np.round(d, 12)])
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     best_i, best_d = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
+                    if len(blocks) > 1:
+                        block.__dict__.pop("_value", None)  # one block in memory at a time
                 keep = np.isfinite(best_d)
                 row, rank = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(best_i[keep]), pa.array(best_d[keep]), pa.array(rank + 1, pa.int32())], ["a", "b", "distance", "rank"])
@@ -249,7 +277,7 @@ def score_trees(rows: DataFrame, columns: Sequence[str], trees: dict, name: str
     """rows with the logistic of a boosted tree ensemble. trees: baseline (number) and flat arrays offsets, leaf, feature, threshold,
     left, right, missing_left, value. Values at a threshold go left; NaN and null go where missing_left says. The ensemble has a fixed size."""
     sent = rows.sparkSession.sparkContext.broadcast({k: np.asarray(v) for k, v in trees.items()})
-    schema = rows.schema.add(name, "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
