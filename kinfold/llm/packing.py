@@ -138,17 +138,12 @@ def _complement(gap: int, count: np.ndarray) -> list[int] | None:
     return None
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(how many sequences, the lengths in each) that use up the histogram.
-
-    Each pattern starts with the longest length left. While lengths with exactly the remaining sum are available they close
-    it; otherwise the longest length that fits goes in (best fit) and the search goes on. A pattern repeats as
-    often as its lengths last, so there are no more patterns than there are different lengths, whatever the number of documents.
-    """
-    count = np.zeros(capacity + 1, np.int64)
-    for k, v in histogram.items():
-        count[k] += v
-    plans = []
+def _fill(count: np.ndarray, capacity: int, exact: bool, defer: bool) -> list[tuple[int, list[int]]]:
+    """Patterns that use up count. Each starts with the longest length left; with `exact`, lengths with exactly the remaining sum close it while
+    there are some, and else the longest that fits goes in (best fit) and the search goes on. With `defer`, patterns that do not close exactly wait
+    until all others are made. A pattern repeats as often as its lengths last."""
+    plans, waiting = [], np.zeros_like(count)
+    count = count.copy()
     while count.any():
         gap, own = capacity, []
         left = count.copy()
@@ -156,10 +151,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
             here = np.flatnonzero(left[: gap + 1])
             if not len(here):
                 break
-            if own and (found := _complement(gap, left)):
+            if own and exact and (found := _complement(gap, left)):
                 own += found
-                for a in found:
-                    left[a] -= 1
+                gap = 0
+                break
+            if own and defer:
                 break
             a = int(here[-1])
             own.append(a)
@@ -168,8 +164,24 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
         used = np.bincount(own, minlength=capacity + 1)
         times = int((count[used > 0] // used[used > 0]).min())
         count -= times * used
-        plans.append((times, own))
-    return plans
+        if defer and gap:
+            waiting += times * used
+        else:
+            plans.append((times, own))
+    return plans + (_fill(waiting, capacity, exact, False) if waiting.any() else [])
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """(how many sequences, the lengths in each) that use up the histogram: the shortest of three plans.
+
+    One closes gaps exactly where it can as it goes, one makes all exactly closed sequences first and best-fits the residuals, one is
+    best fit alone. There are about as many patterns as different lengths, whatever the number of documents.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for k, v in histogram.items():
+        count[k] += v
+    options = [_fill(count, capacity, True, False), _fill(count, capacity, True, True), _fill(count, capacity, False, False)]
+    return min(options, key=lambda p: sum(n for n, _ in p))
 
 
 def _slots(plans: list[tuple[int, list[int]]]) -> dict[int, tuple[list[int], list[int], list[int]]]:
