@@ -20,9 +20,15 @@ GROUPS = ("melody", "bass", "rhythm", "harmony", "motif")
 SCALARS = ("notes", "onsets", "beats", "tracks", "pitch_min", "pitch_max", "pitch_mean", "pitch_sd", "programs", "half_beats")
 
 
+def by_piece(df: DataFrame) -> DataFrame:
+    """df dealt out by piece, in as many partitions as shuffles have: array work on few bytes stays spread over tasks, and all later
+    groupings by piece and more need no further exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece")
+
+
 def slots(notes: DataFrame) -> DataFrame:
     """(piece, slot, melody, bass): highest and lowest pitch of each quarter beat with an onset."""
-    return notes.groupBy("piece", music.slot(F.col("onset"), 4).alias("slot")).agg(F.max("pitch").alias("melody"), F.min("pitch").alias("bass"))
+    return by_piece(notes.select("piece", "onset", "pitch")).groupBy("piece", music.slot(F.col("onset"), 4).alias("slot")).agg(F.max("pitch").alias("melody"), F.min("pitch").alias("bass"))
 
 
 def intervals(slotted: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def _entries(group: str, arrays: list[Column]) -> Column:
 
 def half_beats(notes: DataFrame) -> DataFrame:
     """(piece, seq, mask): pitch classes that begin in each half beat, gaps 0, from the first, 2048 at most."""
-    per = notes.groupBy("piece", music.slot(F.col("onset"), 2).alias("slot")).agg(F.bit_or(music.pitch_bit(F.col("pitch"))).alias("mask"))
+    per = by_piece(notes.select("piece", "onset", "pitch")).groupBy("piece", music.slot(F.col("onset"), 2).alias("slot")).agg(F.bit_or(music.pitch_bit(F.col("pitch"))).alias("mask"))
     ends = per.groupBy("piece").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     all_ = ends.select("piece", F.posexplode(F.sequence(F.col("a"), F.least(F.col("b"), F.col("a") + 2047))).alias("seq", "slot"))
     return all_.join(per, ["piece", "slot"], "left").select("piece", "seq", F.coalesce("mask", F.lit(0)).alias("mask"))
@@ -179,46 +185,48 @@ def set_overlap(bags: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("grp",
     return both.select("a", "b", *keys, s.alias("shared"), (s / F.greatest(na + nb - s, F.lit(1))).alias("jaccard"), (s / F.greatest(F.least(na, nb), F.lit(1))).alias("containment"))
 
 
-def _top(blocks, k: int):
+def _top(blocks, k: int, width: int | None):
+    def dense(idx: list, values: list) -> np.ndarray:
+        if width is None:
+            return np.array(values, np.float64)
+        out = np.zeros((len(values), width))
+        for row, (i, v) in enumerate(zip(idx, values)):
+            out[row, i] = v
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 own = np.array(part.column(0).to_pylist())
-                q = np.array(part.column(1).to_pylist(), np.float64)
+                q = dense(part.column(1).to_pylist(), part.column(2).to_pylist())
                 best_i, best_d = np.zeros((len(own), 0), own.dtype), np.zeros((len(own), 0))
                 for block in blocks:
-                    ids, unit = block.value
-                    d = 1 - q @ unit.T
-                    d[own[:, None] == ids[None, :]] = np.inf
-                    i, d = np.hstack([best_i, np.broadcast_to(ids, d.shape)]), np.hstack([best_d, np.round(d, 12)])
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_i, best_d = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
+                    for lo in range(0, len(block.value[0]), 1024):
+                        ids, idx, values = (x[lo : lo + 1024] for x in block.value)
+                        ids = np.array(ids)
+                        d = np.round(1 - q @ dense(idx, values).T, 12)
+                        d[own[:, None] == ids[None, :]] = np.inf
+                        i, d = np.hstack([best_i, np.broadcast_to(ids, d.shape)]), np.hstack([best_d, d])
+                        order = np.lexsort((i, d), axis=1)[:, :k]
+                        best_i, best_d = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
                     if len(blocks) > 1:
                         block.__dict__.pop("_value", None)  # one block in memory at a time
-                keep = np.isfinite(best_d)
-                row, rank = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(best_i[keep]), pa.array(best_d[keep]), pa.array(rank + 1, pa.int32())], ["a", "b", "distance", "rank"])
+                keep = np.isfinite(best_d) if width is None else best_d < 1
+                row, place = np.nonzero(keep)
+                rank = (np.cumsum(keep, axis=1)[keep]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(best_i[keep]), pa.array(best_d[keep]), pa.array(rank)], ["a", "b", "distance", "rank"])
 
     return run
 
 
-#: Vectors in one broadcast block of the neighbour search.
-BLOCK = 20_000
-
-
-def knn_cosine(vectors: DataFrame, k: int, id_col: str = "piece", vector_col: str = "vector") -> DataFrame:
-    """(a, b, distance, rank): the k nearest other rows by cosine distance (12 places), ties by id, exact.
-
-    Every row is compared with every block of at most BLOCK unit vectors: block products in NumPy inside Arrow tasks. The driver passes
-    the blocks on one at a time, and a worker holds one at a time.
-    """
-    spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString()
-    units = vectors.select(F.col(id_col).alias("id"), F.transform(music.unit(F.col(vector_col)), lambda x: x.cast("double")).alias("u"))
+def _nearest(units: DataFrame, k: int, width: int | None) -> DataFrame:
+    """units: (id, idx, u): unit vectors, with idx the places of u's numbers in `width` ones, or u whole."""
+    spark, kind = units.sparkSession, units.schema["id"].dataType.simpleString()
     held, blocks = [], []
 
     def send():
-        blocks.append(spark.sparkContext.broadcast((np.array([r["id"] for r in held]), np.array([r["u"] for r in held]))))
+        blocks.append(spark.sparkContext.broadcast(([r["id"] for r in held], [r["idx"] for r in held], [r["u"] for r in held])))
         held.clear()
 
     for r in units.toLocalIterator():
@@ -227,7 +235,22 @@ def knn_cosine(vectors: DataFrame, k: int, id_col: str = "piece", vector_col: st
             send()
     if held:
         send()
-    return units.mapInArrow(_top(blocks, k), f"a {kind}, b {kind}, distance double, rank int")
+    spread = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return spread.mapInArrow(_top(blocks, k, width), f"a {kind}, b {kind}, distance double, rank int")
+
+
+#: Vectors in one broadcast block of the neighbour search.
+BLOCK = 20_000
+
+
+def knn_cosine(vectors: DataFrame, k: int, id_col: str = "piece", vector_col: str = "vector") -> DataFrame:
+    """(a, b, distance, rank): the k nearest other rows by cosine distance (12 places), ties by id, exact.
+
+    Every row is compared with every block of at most BLOCK unit vectors: block products in NumPy inside Arrow tasks. The driver passes
+    the blocks on one at a time, and a worker holds one at a time.
+    """
+    units = vectors.select(F.col(id_col).alias("id"), F.lit(None).cast("array<int>").alias("idx"), F.transform(music.unit(F.col(vector_col)), lambda x: x.cast("double")).alias("u"))
+    return _nearest(units, k, None)
 
 
 def rank_pairs(neighbours: DataFrame, k: int, signals: Sequence[str]) -> DataFrame:
@@ -332,13 +355,20 @@ def detect(notes: DataFrame, trees: dict, k: int = DETECTOR["k"], threshold: flo
     return {"pairs": scored, "selected": numbered, "decisions": guarded_components(numbered, limit)}
 
 
-def token_neighbours(weights: DataFrame, k: int) -> DataFrame:
-    """(signal, a, b, rank): the k largest cosines of each piece and token group among pieces that share a token, ties by id."""
-    a = weights.select("grp", "token", F.col("piece").alias("a"), F.col("weight").alias("wa"))
-    b = weights.select("grp", "token", F.col("piece").alias("b"), F.col("weight").alias("wb"))
-    cos = a.join(b, ["grp", "token"]).where("a <> b").groupBy("grp", "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 12).alias("cosine"))
-    w = Window.partitionBy("grp", "a").orderBy(F.desc("cosine"), "b")
-    return cos.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("grp").alias("signal"), "a", "b", "rank")
+def token_neighbours(weights: DataFrame, k: int, width: int = 8192) -> DataFrame:
+    """(signal, a, b, rank): for each token group the k nearest pieces by cosine of hashed token weights, among those that share a bucket; ties by id.
+
+    As in knn_cosine(), by block products: a token that all pieces have costs no more than any other.
+    """
+    bucket = F.pmod(F.xxhash64("token"), F.lit(width)).cast("int")
+    summed = weights.groupBy("grp", "piece", bucket.alias("i")).agg(F.sum("weight").alias("w"))
+    per = summed.groupBy("grp", "piece").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("s"))
+    vectors = materialise(per.select("grp", F.col("piece").alias("id"), F.col("s.i").alias("idx"), music.unit(F.col("s.w")).alias("u")))
+    out = None
+    for g in GROUPS:
+        found = _nearest(vectors.where(F.col("grp") == g).select("id", "idx", "u"), k, width).select(F.lit(g).alias("signal"), "a", "b", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def features_of(pairs: DataFrame, bags: DataFrame, weights: DataFrame, dense: DataFrame, table: DataFrame, k: int) -> DataFrame:

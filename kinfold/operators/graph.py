@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from kinfold.runtime import discard, materialise
 
 
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _starred(e: DataFrame) -> bool:
+    """Whether every node has one edge up at most, and none up if it has some down: then each star is a whole component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").head(1)
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -25,19 +26,15 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     ends = edges.select(u.alias("u"), v.alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     now = materialise(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
+    while not _starred(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialise(turned.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state = state, _state(after)
         discard(now)
         now = after
-        if state == before:
-            break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     known = roots.unionByName(tops).distinct()
@@ -91,43 +88,81 @@ def sibling_probability(k, p: float):
     return 1 - F.pow(F.lit(1 - p), k - 1)
 
 
+def _merge(edges: list[tuple], limit: int) -> tuple[list[str], dict]:
+    """Decisions on one unguarded component's edges in order, and the smallest node of each node's final component."""
+    home: dict = {}
+    group: dict = {}
+    said = []
+    for a, b in edges:
+        x, y = home.get(a, a), home.get(b, b)
+        if x == y:
+            said.append("within")
+            continue
+        gx, gy = group.get(x) or [x], group.get(y) or [y]
+        if len(gx) + len(gy) > limit:
+            said.append("size_guard")
+            continue
+        if len(gx) < len(gy):
+            (x, gx), (y, gy) = (y, gy), (x, gx)
+        group.pop(y, None)
+        group[x] = gx + gy
+        for n in gy:
+            home[n] = x
+        said.append("merged")
+    final = {}
+    for members in group.values():
+        least = min(members)
+        final.update(dict.fromkeys(members, least))
+    return said, final
+
+
 def guarded_components(pairs: DataFrame, limit: int = 20) -> DataFrame:
-    """(a, b, score, idx, decision, component): single-linkage merging in order of falling score (ties: falling idx) in which
+    """(a, b, score, idx, decision, component_a, component_b): single-linkage merging in order of falling score (ties: falling idx) in which
     no merge may make a component of more than `limit` nodes. decision: merged, within (both ends already together) or size_guard.
 
-    A merge never crosses an unguarded component, so each of those is worked off on its own, in parallel.
+    A merge never crosses an unguarded component, so each of those is worked off on its own: they lie sorted one after the other in
+    partitions by component, and a task holds the edges of one component at a time.
     """
     roots = connected_components(pairs)
-    schema = pairs.schema
-    kind = schema["a"].dataType.simpleString()
+    kind = pairs.schema["a"].dataType.simpleString()
     tagged = pairs.select("a", "b", F.col("score").cast("double").alias("score"), F.col("idx").cast("long").alias("idx")).join(roots.withColumnRenamed("node", "a"), "a")
+    names = ["a", "b", "score", "idx", "root"]
 
-    def merge(key, table):
+    def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        table = table.take(pc.sort_indices(table, sort_keys=[("score", "descending"), ("idx", "descending")]))
-        home: dict = {}
-        group: dict = {}
-        said = []
-        ends = list(zip(table["a"].to_pylist(), table["b"].to_pylist()))
-        for a, b in ends:
-            x, y = home.get(a, a), home.get(b, b)
-            gx, gy = group.get(x, [x]), group.get(y, [y])
-            if x == y:
-                said.append("within")
-            elif len(gx) + len(gy) > limit:
-                said.append("size_guard")
-            else:
-                keep, gone = (x, y) if (-len(gx), x) <= (-len(gy), y) else (y, x)
-                group[keep] = group.get(keep, [keep]) + group.pop(gone, [gone])
-                for n in group[keep]:
-                    home[n] = keep
-                said.append("merged")
-        least = {k: min(v) for k, v in group.items()}
-        final = [least.get(home.get(a, a), a) for a, _ in ends]
-        other = [least.get(home.get(b, b), b) for _, b in ends]
-        cols = {n: table[n] for n in ("a", "b", "score", "idx")} | {"decision": pa.array(said, pa.string()), "component_a": pa.array(final, table["a"].type), "component_b": pa.array(other, table["a"].type)}
-        return pa.table(cols)
-
-    return tagged.groupBy("root").applyInArrow(merge, f"a {kind}, b {kind}, score double, idx long, decision string, component_a {kind}, component_b {kind}")
+
+        held: list[list] = [[] for _ in names]
+
+        def out(stop: int):
+            cut = [c[:stop] for c in held]
+            for c in held:
+                del c[:stop]
+            said, ca, cb, lo = [], [], [], 0
+            for hi in range(1, stop + 1):
+                if hi == stop or cut[4][hi] != cut[4][lo]:
+                    edges = list(zip(cut[0][lo:hi], cut[1][lo:hi]))
+                    told, final = _merge(edges, limit)
+                    said += told
+                    ca += [final.get(a, a) for a, _ in edges]
+                    cb += [final.get(b, b) for _, b in edges]
+                    lo = hi
+            cols = [*cut[:4], said, ca, cb]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*names[:4], "decision", "component_a", "component_b"])
+
+        types = None
+        for b in batches:
+            node = b.schema.field("a").type
+            types = [node, node, pa.float64(), pa.int64(), pa.string(), node, node]
+            for c, n in zip(held, names):
+                c += b.column(n).to_pylist()
+            last = held[4][-1] if held[4] else None
+            stop = len(held[4])
+            while stop and held[4][stop - 1] == last:
+                stop -= 1
+            if stop:
+                yield out(stop)
+        if types and held[4]:
+            yield out(len(held[4]))
+
+    ordered = tagged.select(*names).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root").sortWithinPartitions("root", F.desc("score"), F.desc("idx"))
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}, score double, idx long, decision string, component_a {kind}, component_b {kind}")

@@ -42,14 +42,14 @@ def file_split(rows: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed:
     return ranked.withColumn("split", F.when(n <= train, NAMES[0]).when(n <= train + validation, NAMES[1]).otherwise(NAMES[2])).drop("_h", "_r")
 
 
-def global_rank(df: DataFrame, digest: str, order: list[Column], name: str, digits: int = 3) -> DataFrame:
-    """Ranks from 1 by a hex digest (then `order`): ranks within the digest's first digits, plus the rows of the digit groups before."""
+def global_rank(df: DataFrame, digest: str, order: list[Column], name: str, digits: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Ranks from 1 by a hex digest (then `order`), within each `by`: ranks within the digest's first digits, plus the rows of the digit groups before."""
     keyed = df.withColumn("_g", F.substring(digest, 1, digits))
-    counts = keyed.groupBy("_g").count()
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_g", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_f"))  # at most 16**digits rows
-    own = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
-    return keyed.withColumn("_o", own).join(F.broadcast(first), "_g").withColumn(name, F.col("_o") + F.col("_f")).drop("_g", "_o", "_f")
+    counts = keyed.groupBy(*by, "_g").count()
+    before = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*by, "_g", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_f"))  # at most 16**digits rows for each by
+    own = F.row_number().over(Window.partitionBy(*by, "_g").orderBy(*order))
+    return keyed.withColumn("_o", own).join(first, [*by, "_g"]).withColumn(name, F.col("_o") + F.col("_f")).drop("_g", "_o", "_f")
 
 
 def _greedy(ratios: Sequence[float], total: float):
@@ -114,44 +114,47 @@ def split_audit(split: DataFrame, names: Sequence[str] = NAMES) -> DataFrame:
     return out.withColumn("file_reassignment_ratio", F.try_divide("file_reassignment_count", "files"))
 
 
-def component_order(index: Column, seed: int) -> Column:
+def component_order(index: Column, seed: int | Column) -> Column:
     """Tie-breaker between components of a size: a multiplicative hash of the component's number."""
-    return F.pmod(index.cast("decimal(38,0)") * F.lit(2654435761).cast("decimal(38,0)") + F.lit(seed), F.lit(4294967296).cast("decimal(38,0)")).cast("bigint")
+    return F.pmod(index.cast("decimal(38,0)") * F.lit(2654435761).cast("decimal(38,0)") + (seed if isinstance(seed, Column) else F.lit(seed)), F.lit(4294967296).cast("decimal(38,0)")).cast("bigint")
 
 
-def component_choices(components: DataFrame, files: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 0) -> DataFrame:
-    """(component, size, choice): components by falling size, and a component goes to the split in whose range of files its running total ends.
+def component_choices(components: DataFrame, files: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int | Column = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, component, size, choice): components by falling size, and a component goes to the split in whose range of files its running total ends.
 
-    components: (component, size, index). The running total is kept in ranges of equal sizes, so no window holds all components.
+    components: (by, component, size, index). The running total is kept in ranges of equal sizes, so no window holds all components.
     """
     cut = target_counts(files, ratios)
     keyed = components.withColumn("_t", component_order(F.col("index"), seed))
-    sizes = keyed.groupBy("size").agg(F.sum("size").alias("_all"))
-    before = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("size", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))  # a row for each different size
-    own = F.row_number().over(Window.partitionBy("size").orderBy("_t", "index"))
+    sizes = keyed.groupBy(*by, "size").agg(F.sum("size").alias("_all"))
+    before = Window.partitionBy(*by).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*by, "size", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))  # a row for each different size
+    own = F.row_number().over(Window.partitionBy(*by, "size").orderBy("_t", "index"))
     total = F.col("_first") + F.col("_own") * F.col("size")
-    return keyed.withColumn("_own", own).join(first, "size").select("component", "size", F.when(total <= cut[0], 0).when(total <= cut[0] + cut[1], 1).otherwise(2).alias("choice"))
+    return keyed.withColumn("_own", own).join(first, [*by, "size"]).select(*by, "component", "size", F.when(total <= cut[0], 0).when(total <= cut[0] + cut[1], 1).otherwise(2).alias("choice"))
 
 
-def component_split(nodes: DataFrame, groups: DataFrame, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 0) -> DataFrame:
-    """(node, split 0..2): components by component_choices(), then the other nodes in hash order fill what the targets leave.
+def component_split(nodes: DataFrame, groups: DataFrame, files: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int | Column = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, node, split 0..2): components by component_choices(), then the other nodes in hash order fill what the targets leave.
 
-    nodes: (node); groups: (node, root) of components with two nodes or more, numbered by their smallest node.
+    nodes: (by, node); groups: (by, node, root) of components with two nodes or more, numbered by their smallest node; files: nodes of each `by`.
     """
-    files = nodes.count()
-    comps = groups.groupBy("root").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    index = F.row_number().over(Window.orderBy("least")) - 1  # numbers of components are part of the rule
-    chosen = component_choices(comps.select(F.col("root").alias("component"), "size", index.alias("index")), files, ratios, seed)
-    used = {r["choice"]: r["n"] for r in chosen.groupBy("choice").agg(F.sum("size").alias("n")).collect()}
+    comps = groups.groupBy(*by, "root").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+    index = F.row_number().over(Window.partitionBy(*by).orderBy("least")) - 1  # numbers of components are part of the rule
+    chosen = component_choices(comps.select(*by, F.col("root").alias("component"), "size", index.alias("index")), files, ratios, seed, by)
+    inside = groups.join(chosen.select(*by, F.col("component").alias("root"), "choice"), [*by, "root"]).select(*by, "node", F.col("choice").alias("split"))
     target = target_counts(files, ratios)
-    room = [max(0, t - used.get(k, 0)) for k, t in enumerate(target)]
-    alone = nodes.join(groups.select("node"), "node", "left_anti")
-    ranked = global_rank(alone.withColumn("_h", stable("singleton-fill", seed, F.col("node"))), "_h", [F.col("_h"), F.col("node")], "_r")
+    used = chosen.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(F.col("choice") == k, F.col("size"))), F.lit(0)).alias(f"_u{k}") for k in range(3)))
+    alone = nodes.join(groups.select(*by, "node"), [*by, "node"], "left_anti")
+    ranked = global_rank(alone.withColumn("_h", stable("singleton-fill", seed, F.col("node"))), "_h", [F.col("_h"), F.col("node")], "_r", by=by)
+    ranked = ranked.join(used, list(by), "left") if by else ranked.crossJoin(F.broadcast(used))  # without by, used is one row
+    has = [F.coalesce(f"_u{k}", F.lit(0)) for k in range(3)]
+    room = [F.greatest(F.lit(t) - u, F.lit(0)) for t, u in zip(target, has)]
+    full = [F.greatest(u, F.lit(t)) / max(1, t) for t, u in zip(target, has)]
+    rest = F.when((full[0] <= full[1]) & (full[0] <= full[2]), 0).when(full[1] <= full[2], 1).otherwise(2)
     n = F.col("_r")
-    filled = F.when(n <= room[0], 0).when(n <= room[0] + room[1], 1).when(n <= sum(room), 2).otherwise(min(range(3), key=lambda k: (max(used.get(k, 0), target[k]) / max(1, target[k]), k)))
-    inside = groups.join(chosen.select(F.col("component").alias("root"), "choice"), "root").select("node", F.col("choice").alias("split"))
-    return inside.unionByName(ranked.select("node", filled.alias("split")))
+    filled = F.when(n <= room[0], 0).when(n <= room[0] + room[1], 1).when(n <= room[0] + room[1] + room[2], 2).otherwise(rest)
+    return inside.unionByName(ranked.select(*by, "node", filled.alias("split")))
 
 
 def batches(seed: int, size: int, batch: int, steps: int):

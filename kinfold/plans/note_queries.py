@@ -10,6 +10,7 @@ from kinfold.operators import features, sequences
 from kinfold.plans import views
 from kinfold.plans.catalogue import query
 from kinfold.plans.family_queries import R, rounded
+from kinfold.runtime import materialise
 from kinfold.sources import midi
 
 
@@ -102,8 +103,8 @@ _TFIDF = """n AS (SELECT count(DISTINCT piece) AS n FROM notes), df AS (SELECT g
 
 def _weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     n = views.notes(spark, sf)
-    bags = features.step_bags(features.intervals(features.slots(n))).where("grp <> 'motif'")
-    return bags, features.tfidf(bags, n.select("piece").distinct().count())
+    bags = materialise(features.step_bags(features.intervals(features.slots(n))).where("grp <> 'motif'"))
+    return bags, materialise(features.tfidf(bags, n.select("piece").distinct().count()))
 
 
 @query(f"WITH {views.NOTES}, {_MELODY}, {_TFIDF} SELECT piece, grp, token, round(weight, 9) AS weight FROM wt")
