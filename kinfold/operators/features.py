@@ -215,7 +215,8 @@ def _top(blocks, k: int, width: int | None):
                 keep = np.isfinite(best_d) if width is None else best_d < 1
                 row, place = np.nonzero(keep)
                 rank = (np.cumsum(keep, axis=1)[keep]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(best_i[keep]), pa.array(best_d[keep]), pa.array(rank)], ["a", "b", "distance", "rank"])
+                kind = part.schema.field(0).type
+                yield pa.RecordBatch.from_arrays([pa.array(own[row].tolist(), kind), pa.array(best_i[keep].tolist(), kind), pa.array(best_d[keep]), pa.array(rank)], ["a", "b", "distance", "rank"])
 
     return run
 
