@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,21 +93,22 @@ def tag_words(rows: list[tuple[int, np.ndarray]]) -> set[int]:
     words. Copies and near copies repeat a word in the same place, so they add no support to it."""
     seen, texts = set(), []
     for y, h in rows:
-        if len(h) and (key := (y, h.tobytes())) not in seen:
+        if len(h) and (key := (y, hashlib.sha256(h.tobytes()).digest())) not in seen:
             seen.add(key)
             texts.append((y, h))
-    bad, every, before = Counter(), Counter(), set()
-    for y, h in texts:
-        own = set(h.tolist())
-        every.update(own)
-        if y:
-            bad.update(own)
-            before.update(zip(h[1:].tolist(), h[:-1].tolist()))
-    toxic = sum(len(h) for y, h in texts if y)
-    base = min(0.9, max(1e-3, toxic / max(1, sum(len(h) for _, h in texts))))
-    least = np.log(CHANCE * max(1, len(every))) / -np.log(base)
-    support = Counter(w for w, _ in before)
-    return {w for w, n in bad.items() if n >= LEAST_SHARE * every[w] and support[w] >= least}
+    if not texts:
+        return set()
+    size = np.array([len(h) for _, h in texts])
+    words, word = np.unique(np.concatenate([h for _, h in texts]), return_inverse=True)
+    doc, toxic, n = np.repeat(np.arange(len(texts)), size), np.array([y == 1 for y, _ in texts]), len(words)
+    pairs = np.unique(doc * n + word)
+    every = np.bincount(pairs % n, minlength=n)
+    bad = np.bincount((pairs % n)[toxic[pairs // n]], minlength=n)
+    follows = np.flatnonzero((doc[1:] == doc[:-1]) & toxic[doc[1:]]) + 1
+    support = np.bincount(np.unique(word[follows] * n + word[follows - 1]) // n, minlength=n)
+    base = min(0.9, max(1e-3, size[toxic].sum() / size.sum()))
+    least = np.log(CHANCE * n) / -np.log(base)
+    return set(words[(bad > 0) & (bad >= LEAST_SHARE * every) & (support >= least)].tolist())
 
 
 def train_crf(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
