@@ -28,7 +28,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _judged(scored: DataFrame, folds: int, held: int, at: float, *more: str) -> DataFrame:
@@ -71,4 +72,32 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash_near_dedup, op3_best_fit_packing, op4_secret_scan, op5_document_fingerprints, op6_benchmark_decontamination, op7_pii, op8_quality_classifier, op9_licence_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: op6 as a join of word windows; positions are counted over the distinct hit words of each document.
+_OP6 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+q AS (SELECT DISTINCT item, least(8, len(w)) AS k, array_to_string(w[p:p + least(8, len(w)) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)), ks AS (SELECT DISTINCT k FROM q),
+h AS (SELECT r, p, q.k, item FROM (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)) x JOIN q ON q.k = x.k AND q.g = x.g),
+n AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS pos FROM (SELECT DISTINCT r, p, k FROM h)) GROUP BY r), i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
+
+
+def _places(number: int, pattern: str, group: int, least: int) -> str:
+    """Matches of one pattern as structs of start, kind, end and value, from the pieces between them."""
+    return f"""(SELECT r, list({{'start': s, 'kind': {number}, 'end': e, 'value': v}} ORDER BY s) AS spans FROM (SELECT r, v, sum(length(g) + length(m)) OVER w - length(m) AS s, sum(length(g) + length(m)) OVER w AS e FROM
+ (SELECT r, unnest(string_split_regex(t, '{pattern}')[1:len(regexp_extract_all(t, '{pattern}'))]) AS g, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i FROM d WHERE regexp_matches(t, '{pattern}')) WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE length(v) >= {least} GROUP BY r)"""
+
+
+_QUOTE = chr(39) * 2
+_ASSIGN = f"""(?i:password|passwd|secret|token|api_?key)["{_QUOTE}]?\\x20*[:=]\\x20*["{_QUOTE}]?([A-Za-z0-9+/_.=-]+)"""
+_SPANS = "coalesce(list_aggregate(list_transform(list_sort({0}), lambda x: ['assign', 'access', 'hex', 'generic'][x.kind + 1] || ':' || x.start || ':' || x.end), 'string_agg', ','), '')"
+_OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t FROM documents),
+a AS {_places(0, _ASSIGN, 1, 6)}, k AS {_places(1, 'AKIA[A-Z0-9]{16,}', 0, 20)}, x AS {_places(2, '[0-9a-f]{24,}', 0, 24)}, g AS {_places(3, '[A-Za-z0-9+/_-]{20,}', 0, 20)},
+j AS (SELECT d.r, doc_id, repo, coalesce(len(a.spans), 0) AS n_assign, coalesce(len(k.spans), 0) AS n_access, coalesce(len(x.spans), 0) AS n_hex, list_sort(coalesce(a.spans, []) || coalesce(k.spans, []) || coalesce(x.spans, [])) AS base, coalesce(g.spans, []) AS gen FROM d LEFT JOIN a USING (r) LEFT JOIN k USING (r) LEFT JOIN x USING (r) LEFT JOIN g USING (r)),
+m AS (SELECT *, list_filter(gen, lambda y: regexp_matches(y.value, '[A-Z]') AND regexp_matches(y.value, '[a-z]') AND regexp_matches(y.value, '[0-9]') AND len(list_filter(base, lambda z: z.start < y.end AND y.start < z.end)) = 0) AS more FROM j),
+c AS (SELECT r, repo, unnest(base || more) AS s FROM m), o AS (SELECT s.value AS value, count(DISTINCT string_split(repo, '/')[1]) AS owners FROM c GROUP BY ALL),
+f AS (SELECT r, list(s) FILTER (s.kind < 3 OR owners = 1) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example FROM c JOIN o ON o.value = s.value GROUP BY r)
+SELECT doc_id, n_assign, n_access, n_hex, sha256({_SPANS.format('base')}) AS base_sha256, {_SPANS.format('coalesce(spans, [])')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM m LEFT JOIN f USING (r)"""
+
+ORACLES: dict[str, str] = {"op4_secret_scan": _OP4, "op6_benchmark_decontamination": _OP6}
