@@ -101,5 +101,5 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     ranks = propagate(host_edges(read), seeds)
     seen = ruled.join(ranks, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust > margin * trust, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(distrust > margin * trust + 1e-12, F.lit("block")).otherwise(F.lit("allow"))
     return seen.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
