@@ -89,3 +89,9 @@ def condition_contrast(rows: DataFrame, left: str, right: str, keys: list[str],
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+
+
+def first_groups(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """The rows of the first `most` groups in order of their first row; a limit asked for by the caller."""
+    heads = rows.groupBy(*keys).agg(F.min(order).alias("_first")).orderBy("_first").limit(most)
+    return rows.join(heads.select(*keys), keys, "left_semi")

@@ -382,3 +382,16 @@ def features_of(pairs: DataFrame, bags: DataFrame, weights: DataFrame, dense: Da
     out = out.join(vector_cosines(pairs, dense, ["interval_hist", "duration_hist", "ioi_hist", "chroma"]), ["a", "b"], "left")
     out = out.join(scalar_features(pairs, table), ["a", "b"], "left")
     return out.join(rank_features(pairs, k, [*GROUPS, "interval_hist", "duration_hist", "ioi_hist", "chroma"]), ["a", "b"], "left")
+
+
+def run_summary(pieces: DataFrame, parsed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row on a detector run: files, parsed files, components (single files included), selected pairs, merges, pairs turned down for size.
+
+    pieces: (piece); parsed: (path, error); decisions: of guarded_components().
+    """
+    ends = decisions.select(F.explode(F.array(F.struct(F.col("a").alias("piece"), F.col("component_a").alias("c")), F.struct(F.col("b").alias("piece"), F.col("component_b").alias("c")))).alias("x")).select("x.*").distinct()
+    whole = pieces.join(ends, "piece", "left").agg(F.count_distinct(F.coalesce("c", "piece")).alias("components"))
+    read = parsed.agg(F.count("*").alias("midi_files"), F.count_if(F.col("error").isNull()).alias("parsed_files"))
+    d = F.col("decision")
+    made = decisions.agg(F.count("*").alias("direct_edges"), F.count_if(d == "merged").alias("component_merges"), F.count_if(d == "size_guard").alias("rejected_by_size"))
+    return read.crossJoin(whole).crossJoin(made)  # single rows

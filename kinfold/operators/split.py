@@ -170,6 +170,20 @@ def batches(seed: int, size: int, batch: int, steps: int):
         held = held[batch:]
 
 
+def shuffled_batches(indices: Sequence[int], seed: int | str, batch: int, steps: int):
+    """Batch schedule over given windows with Python's own generator: shuffles of all of them one after the other, cut into batches."""
+    import random
+
+    rng, held = random.Random(seed), []
+    for _ in range(steps):
+        while len(held) < batch:
+            again = list(indices)
+            rng.shuffle(again)
+            held += again
+        yield held[:batch]
+        held = held[batch:]
+
+
 def epoch_order(rows: DataFrame, seed: int, epoch: int, id_col: str = "id") -> DataFrame:
     """rows with their place in an epoch's order, by hash."""
     return global_rank(rows.withColumn("_h", stable(seed, epoch, F.col(id_col))), "_h", [F.col("_h"), F.col(id_col)], "place")

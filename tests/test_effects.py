@@ -104,3 +104,8 @@ def test_cluster_bootstrap_bounds(spark):
     per = spark.createDataFrame([(i, i % 3, 3, 0.5) for i in range(20)], "i long, hit long, positive long, false double")
     r = stats.cluster_bootstrap(per, 60, 1).first()
     assert 0 <= r.precision_low <= r.precision_high <= 1 and r.recall_low <= 19 / 60 <= r.recall_high
+
+
+def test_first_groups_keep_input_order(spark):
+    df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "c")], "i int, k string")
+    assert sorted(r.i for r in effects.first_groups(df, ["k"], "i", 2).collect()) == [0, 1, 2]

@@ -146,6 +146,9 @@ def test_batches_follow_numpy():
 
     order = np.random.default_rng(3).permutation(5).tolist()
     assert [x for b in split.batches(3, 5, 2, 2) for x in b] == order[:4]
+    assert next(split.batches(202608040, 38374, 5, 1)) == [4458, 2215, 9471, 741, 5656]
+    every = [x for b in split.shuffled_batches(range(5), "s", 2, 5) for x in b]
+    assert sorted(every[:5]) == sorted(every[5:]) == list(range(5)) and every == [x for b in split.shuffled_batches(range(5), "s", 5, 2) for x in b]
 
 
 def test_audit_rates_and_undefined(spark):

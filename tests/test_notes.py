@@ -141,6 +141,9 @@ def test_detector_joins_copies(spark):
     out = features.detect(notes, trees, k=3, threshold=0.9, mutual=3)
     assert len(out["pairs"].columns) == 2 + 47 + 1 + 1
     assert {(r.a, r.b) for r in out["decisions"].collect()} == {(i, i + 1) for i in range(0, 12, 3)}
+    parsed = spark.createDataFrame([(str(i), "bad" if i == 12 else None) for i in range(13)], "path string, error string")
+    total = features.run_summary(notes.select("piece").distinct(), parsed, out["decisions"]).first()
+    assert tuple(total) == (13, 12, 8, 4, 4, 0)
 
 
 def test_tree_scores_route_missing_values(spark):
@@ -164,6 +167,13 @@ def test_neighbours_exact_in_blocks(spark, monkeypatch):
         assert [r.b for r in sorted((r for r in got if r.a == i), key=lambda r: r.rank)] == want
 
 
+def test_manifest_paths_stay_inside():
+    assert files.inside("/r", "a/./b") == "/r/a/b"
+    for bad in ("/etc/x", "../x", "a/../../x"):
+        with pytest.raises(ValueError):
+            files.inside("/r", bad)
+
+
 def test_file_sources(spark, tmp_path):
     p = str(tmp_path)
     (tmp_path / "rows.jsonl").write_text('{"id":"a","tokens":1}\n\n{"id":"b","tokens":2}\n')
