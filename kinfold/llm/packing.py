@@ -42,11 +42,14 @@ class WordCoder:
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):  # a vocabulary without word ends
-            self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
+            self.known.update((w, self._whole(w)) for w in words)
             return
         raw, at = ids.tobytes(), 0
         for w, to in zip(words, (stops * 4).tolist()):
@@ -58,11 +61,21 @@ class WordCoder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         cut = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        new = set(itertools.chain.from_iterable(c for c in cut if c)).difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for c, t in zip(cut, texts)]
+        words = list(itertools.chain.from_iterable(c for c in cut if c))
+        parts = list(map(self.known.get, words))
+        gaps = [i for i, p in enumerate(parts) if p is None]
+        if gaps:
+            self._learn(list({words[i] for i in gaps}))
+            for i in gaps:
+                parts[i] = self.known[words[i]]
+        out, at = [], 0
+        for c, t in zip(cut, texts):
+            if c is None:
+                out.append(self._whole(t))
+            else:
+                out.append(b"".join(parts[at : at + len(c)]))
+                at += len(c)
+        return out
 
 
 _CODERS: dict[str, WordCoder] = {}
