@@ -258,3 +258,16 @@ def test_simulation_baselines(spark):
     assert none.reference_family_recovery_rate == 0.0 and none.inferred_component_count == 60 and none.residual_known_cross_split_family_count > 0
     assert got["edge_dropnone"].retained_edges == 20 and 0 < got["edge_dropnone"].pairwise_same_family_recall < 1
     assert got["false_edgeschain"].pairwise_relation_precision < 1
+
+
+def test_both_ways_to_simulate_agree(spark):
+    rng = random.Random(9)
+    families = [rng.randint(0, 40) for _ in range(120)]
+    nodes = spark.createDataFrame([(i, f"f{f}") for i, f in enumerate(families)], "node long, family_id string")
+    edges = graph.identical_edges(nodes, "family_id", "node")
+    plans = simulation.grid((0.8, 0.5, 0.4, 0.3), (0.05, 0.1, 0.3, 0.4, 0.45))
+    rows = []
+    for most in (10**6, 0):
+        got = simulation.simulate(nodes, edges, plans, (1, 2), largest=-1, in_memory_up_to=most)
+        rows.append(sorted((tuple((c, round(v, 9) if isinstance(v, float) else v) for c, v in sorted(r.asDict().items())) for r in got.collect()), key=str))
+    assert len(rows[0]) == 2 * len(plans) and rows[0] == rows[1]
