@@ -88,6 +88,17 @@ def forward_backward(score: np.ndarray, first: np.ndarray, size: np.ndarray, mov
     return marginal, moves, float(z.sum())
 
 
+def by_blocks(score: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray, words: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """forward_backward() over blocks of whole chains, so that its working arrays stay small. first is in text order."""
+    marginal, moves = np.zeros(len(score)), np.zeros((2, 2))
+    cuts = np.unique(np.r_[0, np.searchsorted(first, np.arange(words, len(score), words)), len(first)])
+    for i, j in zip(cuts, cuts[1:]):
+        lo, hi = first[i], first[j - 1] + size[j - 1]
+        marginal[lo:hi], m, _ = forward_backward(score[lo:hi], first[i:j] - lo, size[i:j], move)
+        moves += m
+    return marginal, moves
+
+
 def tag_words(rows: list[tuple[int, np.ndarray]]) -> set[int]:
     """Token labels from document labels: hashes of words that stand almost only in toxic texts and there after many different
     words. Copies and near copies repeat a word in the same place, so they add no support to it."""
@@ -135,7 +146,7 @@ def train_crf(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 20, r
     sums = [np.full(width, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     weight = 1.0 / max(1, gold.sum())
     for _ in range(steps):
-        marginal, moves, _ = forward_backward(word[b] + word[c] + bias, first, size, move)
+        marginal, moves = by_blocks(word[b] + word[c] + bias, first, size, move)
         off = (marginal - gold) * weight
         grads = [np.bincount(both, weights=np.concatenate([off, off]), minlength=width) + decay * word * weight, off.sum(), (moves - seen) * weight]
         for j, g in enumerate(grads):
@@ -143,7 +154,7 @@ def train_crf(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 20, r
         word = word - rate * grads[0] / np.sqrt(sums[0])
         bias -= rate * grads[1] / np.sqrt(sums[1])
         move = move - rate * grads[2] / np.sqrt(sums[2])
-    marginal, _, _ = forward_backward(word[b] + word[c] + bias, first, size, move)
+    marginal, _ = by_blocks(word[b] + word[c] + bias, first, size, move)
     x = _evidence(doc, marginal, len(rows))
     share = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
     k0, k1 = -1.0, 1.0

@@ -442,6 +442,9 @@ def test_forward_backward_matches_enumeration():
             for a, b in zip(y, y[1:]):
                 pairs[a, b] += w / part
     assert np.allclose(marginal, want) and np.allclose(moves, pairs) and np.isclose(z, total)
+    for words in (1, 3, 5, 100):
+        again, both = toxicity.by_blocks(score, first, size, move, words)
+        assert np.allclose(again, want) and np.allclose(both, pairs)
 
 
 def test_samples_are_bounded_and_deterministic(spark):
