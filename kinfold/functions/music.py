@@ -56,8 +56,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """a over its length; a zero vector stays."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x / norm(a)).otherwise(x.cast("double")))
+    """a over its length, which is taken once; a zero vector stays."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))[0]
 
 
 def roll(a: Column, n: Column | int) -> Column:
