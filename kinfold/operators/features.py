@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from kinfold.functions import music
 from kinfold.runtime import materialise
 
+# Token groups and summary numbers of the detector, in the order of its features.
 GROUPS = ("melody", "bass", "rhythm", "harmony", "motif")
 SCALARS = ("notes", "onsets", "beats", "tracks", "pitch_min", "pitch_max", "pitch_mean", "pitch_sd", "programs", "half_beats")
 
@@ -321,7 +322,7 @@ def score_trees(rows: DataFrame, columns: Sequence[str], trees: dict, name: str
     return rows.mapInArrow(run, schema)
 
 
-#: Fixed values of the released detector: threshold, mutual signals, largest component, neighbours.
+# Fixed values of the released detector: threshold, mutual signals, largest component, neighbours.
 DETECTOR = {"threshold": 0.991013602401951, "mutual": 3, "component": 20, "k": 100}
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the MIDI format: the drum channel, and channel messages with their number of data bytes.
 DRUMS = 9
 _CHANNEL = {8: ("note_off", 2), 9: ("note_on", 2), 10: ("polytouch", 2), 11: ("control_change", 2), 12: ("program_change", 1), 13: ("aftertouch", 1), 14: ("pitchwheel", 2)}
 
