@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import decontam, packing, pii, simhash, toxicity
+from kinfold.llm import decontam, packing, pii, shingles, toxicity
 from kinfold.llm.queries import table, toxicity_model, word_bpe
 from kinfold.runtime import materialise
 
@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
