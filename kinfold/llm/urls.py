@@ -53,8 +53,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = pages.where("html like '%//%'").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
     links = links.select("src", F.translate("dst", string.ascii_uppercase, string.ascii_lowercase).alias("dst")).where("src <> '' and src <> dst")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
-    hosts = pages.select("host").where("host like '%.%.%'").distinct()
-    up = hosts.select("host", F.regexp_replace("host", r"^[^.]*\.", "").alias("parent")).join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi")
+    hosts = pages.select("host").distinct()
+    up = hosts.where("host like '%.%.%'").select("host", F.regexp_replace("host", r"^[^.]*\.", "").alias("parent")).join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi")
     site = up.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("n")).unionByName(up.select(F.col("parent").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("n")))
     return links.unionByName(site).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
