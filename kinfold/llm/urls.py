@@ -59,11 +59,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(site).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 400, damping: float = 0.85, tolerance: float = 1e-13) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of the trusted seeds along links, and of the blocked seeds against them.
 
     seeds: (host, trust, distrust), the restart mass of each host. Both ranks advance in one table: side 0 follows src to dst, side 1
-    dst to src. Each round is one join on the host and one sum, written to shared scratch; rounds end early at the tolerance.
+    dst to src. Each round is one join on the host and one sum, written to shared scratch. Rounds go on until a round moves less mass than the
+    tolerance, so far under judge()'s least distrust that what is left cannot reach it; no end within `rounds` is an error.
     """
     both = edges.select(F.lit(0).alias("side"), "src", "dst", "n").unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("side", "src").agg(F.sum("n").alias("total"))
@@ -78,8 +79,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: flo
         if now is not start:
             discard(now)
         now = after
-        if off is not None and off < tolerance:
+        if off is None or off < tolerance:
             break
+    else:
+        if step.head(1):
+            raise RuntimeError(f"ranks move by {off} after {rounds} rounds, over the tolerance of {tolerance}")
     return now.groupBy("host").agg(F.sum(F.when(F.col("side") == 0, F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("side") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
 
 
