@@ -162,16 +162,15 @@ def discover(base: DataFrame, rounds: int = 3, sure: float = 0.8, support: float
 
     A pattern's score for a kind is the weight of its instances known to be of that kind over the number of all its instances plus one,
     if that weight is `support` or more. An unknown instance belongs to a kind with probability 1 - prod(1 - score) over its patterns,
-    and joins the known ones from `sure` on. After the rounds, unknown words in a pattern of score `sure` or more whose instance was accepted are spans.
+    and joins the known ones from `sure` on. After the rounds, all unknown words whose instance was accepted are spans, of its most probable kind.
+    Patterns of fewer instances than `support` can have no score and those without unknown words no effect; only these are left out.
     """
-    seen = base.where(F.size("found") > 0).select("id", "key", F.explode("found").alias("o")).select("id", "key", "o.kind", "o.start", "o.end", "o.instance", F.explode("o.patterns").alias("pattern"))
-    shared = seen.groupBy("pattern").agg(F.max(F.col("kind").isNotNull()).alias("s"), F.max(F.col("kind").isNull()).alias("c")).where("s and c").select("pattern")
-    seen = materialise(seen.join(shared, "pattern", "left_semi"))
-    edges = materialise(seen.select("pattern", "instance", "kind").distinct())
-    seeds = edges.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("weight")).distinct()
-    sizes = edges.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("size"))
-    links = edges.select("pattern", "instance").distinct()
-    unknown = edges.where("kind is null").select("pattern", "instance").distinct()
+    every = base.where(F.size("found") > 0).select("id", "key", F.explode("found").alias("o")).select("id", "key", "o.kind", "o.start", "o.end", "o.instance", "o.patterns")
+    seeds = materialise(every.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("weight")).distinct())
+    pairs = materialise(every.select(F.explode("patterns").alias("pattern"), "instance", F.col("kind").isNull().alias("open")).groupBy("pattern", "instance").agg(F.max("open").alias("open")))
+    sizes = materialise(pairs.groupBy("pattern").agg(F.count("*").alias("size"), F.max("open").alias("open")).where((F.col("size") >= support) & F.col("open")).select("pattern", "size"))
+    links = materialise(pairs.join(sizes, "pattern", "left_semi"))
+    unknown = links.where("open").select("pattern", "instance")
     known = seeds
     for _ in range(rounds):
         weight = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
@@ -179,10 +178,9 @@ def discover(base: DataFrame, rounds: int = 3, sure: float = 0.8, support: float
         belief = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("weight")).where(F.col("weight") >= sure)
         new = belief.join(seeds.select("instance").distinct(), "instance", "left_anti")
         known = materialise(seeds.unionByName(new))
-        scores = materialise(scored)
-    ours = seen.where("kind is null").drop("kind").join(scores.where(F.col("score") >= sure), "pattern").join(known.select("instance", "kind"), ["instance", "kind"], "left_semi")
-    best = ours.groupBy("id", "key", "start", "end").agg(F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("kind"))
-    return best.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
+    accepted = known.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("weight"), "kind")).alias("kind"))
+    ours = every.where("kind is null").select("id", "key", "start", "end", "instance").join(accepted, "instance").select("id", "key", "kind", "start", "end").distinct()
+    return ours.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
