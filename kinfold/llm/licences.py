@@ -80,7 +80,7 @@ OTHERS = (
     "Copyright of the photograph belongs to the museum.",
     "The work is the property of the foundation.",
 )
-#: A paragraph without any of these is of no licence by definition and is not scored.
+#: A paragraph with one of these and no confirmed family counts as unknown; one without them counts only where a family is confirmed.
 TRIGGER = r"(?i)licen[sc]|copyright|warrant|permission|permitted|redistribut|public domain|spdx|\bgnu\b|\bcc[ -]?by|creative commons"
 _WORD = "[^a-z0-9]+"
 
@@ -154,26 +154,43 @@ def _grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
 
 
+#: The part of the shorter of notice and paragraph that the two must share.
+CONFIRM = 0.5
+
+
+def _near_notice(hits: Column, words: Column) -> Column:
+    """Whether the paragraph shares CONFIRM of its words or a notice's with some notice, without which no family is confirmed."""
+    out = F.lit(False)
+    for own in sorted({tuple(sorted(set(_words(t)))) for texts in NOTICES.values() for t in texts}):
+        out |= F.size(F.array_intersect(hits, F.array(*map(F.lit, own)))) >= CONFIRM * F.least(F.lit(len(own)), F.size(words))
+    return out
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, at, words): the paragraphs (lines) with a trigger word; at is the paragraph's number in its document."""
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(TRIGGER))
-    lines = read.select("id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(TRIGGER))
-    return lines.select("id", "key", "at", F.filter(F.split(F.lower("line"), _WORD), lambda w: w != "").alias("words")).distinct()
+    """(id, key, at, words, trigger): the paragraphs (lines) with a trigger word or as many words of a notice as a confirmed family needs; at is
+    the paragraph's number in its document. The others are of no licence whatever their score."""
+    vocabulary = sorted({w for texts in NOTICES.values() for t in texts for w in _words(t)})
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    split = F.transform(F.split("text", "\n"), lambda line: F.struct(line.rlike(TRIGGER).alias("trigger"), F.filter(F.split(F.lower(line), _WORD), lambda w: w != "").alias("words")))
+    split = F.transform(split, lambda x: F.struct(x["trigger"].alias("trigger"), x["words"].alias("words"), F.array_distinct(F.filter(x["words"], lambda w: w.isin(vocabulary))).alias("hits")))
+    lines = read.select("id", F.xxhash64("text").alias("key"), F.posexplode(split).alias("at", "line")).select("id", "key", "at", "line.words", "line.trigger", "line.hits")
+    lines = lines.where(F.col("trigger") | (F.size("hits") > 0) & _near_notice(F.col("hits"), F.array_distinct("words")))
+    return lines.select("id", "key", "at", "words", "trigger").distinct()
 
 
 def _inline(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
 
 
-def classify(lines: DataFrame, sure: float = 0.6, confirm: float = 0.5) -> DataFrame:
-    """(id, key, at, family, probability, overlap): the most likely class of each paragraph; unknown unless its probability is `sure` or more
+def classify(lines: DataFrame, sure: float = 0.6, confirm: float = CONFIRM) -> DataFrame:
+    """(id, key, at, trigger, family, probability, overlap): the most likely class of each paragraph; unknown unless its probability is `sure` or more
     and some notice of the family shares `confirm` of the words of notice and paragraph (the part of the shorter one)."""
     weight, bias, heat = model()
     spark = lines.sparkSession
     names = [*NOTICES, "unknown"]
     known = _inline(spark, [{"gram": g, "w": w} for g, w in weight.items()], "gram:string,w:array<double>")
-    each = lines.select("id", "key", "at", F.explode(_grams_of(F.col("words"))).alias("gram")).join(F.broadcast(known), "gram")
-    totals = each.groupBy("id", "key", "at").agg(F.count("*").alias("n"), *(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(names))))
+    each = lines.select("id", "key", "at", F.explode(_grams_of(F.col("words"))).alias("gram")).join(F.broadcast(known), "gram", "left")
+    totals = each.groupBy("id", "key", "at").agg(F.greatest(F.count("w"), F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(names))))
     z = [(F.lit(bias[k]) + F.col(f"s{k}") / F.sqrt("n")) / heat for k in range(len(names))]
     top = F.greatest(*z)
     classes = F.array(*(F.struct(F.exp(x - top).alias("e"), F.lit(name).alias("family")) for x, name in zip(z, names)))
@@ -181,12 +198,12 @@ def classify(lines: DataFrame, sure: float = 0.6, confirm: float = 0.5) -> DataF
     scored = scored.select("id", "key", "at", F.col("best.family").alias("guess"), (F.col("best.e") / F.col("all")).alias("probability"))
     notices = _inline(spark, [{"guess": k, "notice": sorted(set(_words(t)))} for k, texts in NOTICES.items() for t in texts], "guess:string,notice:array<string>")
     notices = notices.groupBy("guess").agg(F.collect_list("notice").alias("notices"))
-    both = scored.join(lines, scored["id"].eqNullSafe(lines["id"]) & (scored["key"] == lines["key"]) & (scored["at"] == lines["at"])).select(scored["id"], scored["key"], scored["at"], "guess", "probability", F.array_distinct("words").alias("words"))
+    both = scored.join(lines, scored["id"].eqNullSafe(lines["id"]) & (scored["key"] == lines["key"]) & (scored["at"] == lines["at"])).select(scored["id"], scored["key"], scored["at"], "trigger", "guess", "probability", F.array_distinct("words").alias("words"))
     both = both.join(F.broadcast(notices), "guess", "left")
     overlap = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("words"))) / F.least(F.size(n), F.size(F.col("words")))))
     both = both.withColumn("overlap", F.coalesce(overlap, F.lit(0.0)))
     good = (F.col("guess") != "unknown") & (F.col("probability") >= sure) & (F.col("overlap") >= confirm)
-    return both.select("id", "key", "at", F.when(good, F.col("guess")).otherwise(F.lit("unknown")).alias("family"), "probability", "overlap")
+    return both.select("id", "key", "at", "trigger", F.when(good, F.col("guess")).otherwise(F.lit("unknown")).alias("family"), "probability", "overlap")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +218,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     per = found.groupBy("id", "key").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("family")))), ",").alias("families"),
         F.count_if(hit).alias("n_licence"),
-        F.count_if(~hit).alias("n_unknown"),
+        F.count_if(~hit & F.col("trigger")).alias("n_unknown"),
         F.max(F.when(hit, F.round("probability", 6))).alias("probability"),
     )
     per = per.select(F.col("id").alias("found_id"), F.col("key").alias("found_key"), "families", "n_licence", "n_unknown", "probability")
