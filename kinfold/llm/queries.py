@@ -103,16 +103,18 @@ SELECT doc_id, n_assign, n_access, n_hex, sha256({_SPANS.format('base')}) AS bas
 _FITS = sorted(urls.RULES, key=lambda r: -len(r.text))
 _CASE = "CASE " + " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND path LIKE '{r.path}%' THEN '{{0[{i}]}}'" for i, r in enumerate(_FITS)) + " END"
 _HOST = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-#: op1: after 12 rounds the rank is the sum of the walks of 0 to 11 steps, each with the restart's share, and the walk of 12.
+#: op1 from the definition: a rank is the sum of all walks from the restart, scaled to 1; those of over 240 steps hold 1e-17 of it. A host's
+#: links go to the hosts that its pages name, and both ways between a host and the host without its first label, if that has pages and a dot.
 _OP1 = f"""WITH RECURSIVE p AS (SELECT page_id, html, {_HOST.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 u AS (SELECT page_id, host, path, {_CASE.format([r.text for r in _FITS])} AS rule, {_CASE.format([r.verdict for r in _FITS])} AS ruled FROM p),
-l AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT host AS src, {_HOST.format("dst")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s<>]+)', 1)) AS dst FROM p)) WHERE src <> '' AND src <> dst GROUP BY ALL),
-h AS (SELECT DISTINCT host FROM p WHERE host LIKE '%.%.%'), up AS (SELECT a.host, b.host AS parent FROM h a JOIN h b ON b.host = regexp_replace(a.host, '^[^.]*\\.', '')),
-e AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM l UNION ALL SELECT host, parent, 1.0 FROM up UNION ALL SELECT parent, host, 1.0 FROM up) GROUP BY ALL), both_ AS (SELECT 0 AS side, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e),
-step AS (SELECT side, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY side, src) AS p FROM both_), c AS (SELECT host, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM u WHERE ruled IS NOT NULL AND host <> '' GROUP BY host), t AS (SELECT greatest(1, coalesce(sum(a + b), 1)) AS t FROM c),
-s AS (SELECT 0 AS side, host, (a / t)::DOUBLE AS r FROM c, t WHERE a > 0 UNION ALL SELECT 1, host, (b / t)::DOUBLE FROM c, t WHERE b > 0),
-w(j, side, host, r) AS (SELECT 0, side, host, r FROM s UNION ALL SELECT j + 1, side, dst, sum(r * p) FROM (SELECT w.j, w.side, step.dst, w.r, step.p FROM w JOIN step ON step.side = w.side AND step.src = w.host WHERE w.j < 12) GROUP BY j, side, dst),
-k AS (SELECT host, sum(CASE WHEN side = 0 THEN r * f ELSE 0 END) AS trust, sum(CASE WHEN side = 1 THEN r * f ELSE 0 END) AS distrust FROM (SELECT *, CASE WHEN j = 12 OR (SELECT count(*) FROM e) = 0 THEN 1.0 ELSE 0.15 END::DOUBLE AS f FROM w) GROUP BY host)
-SELECT page_id, u.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > 2 * coalesce(trust, 0) + 1e-12 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN k ON k.host = u.host"""
+links AS (SELECT host AS src, {_HOST.format("dst")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s<>]+)', 1)) AS dst FROM p)),
+hosts AS (SELECT DISTINCT host, split_part(host, '.', 1) AS label FROM p), family AS (SELECT c.host AS child, a.host AS parent FROM hosts c JOIN hosts a ON c.host = c.label || '.' || a.host WHERE contains(a.host, '.')),
+e AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT * FROM links WHERE src <> '' AND src <> dst UNION ALL SELECT child, parent FROM family UNION ALL SELECT parent, child FROM family) GROUP BY ALL),
+step AS (SELECT side, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY side, src) AS p FROM (SELECT 'trust' AS side, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e)),
+seed AS (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS side, host, count(*)::DOUBLE AS n FROM u WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL),
+w(j, side, host, r) AS (SELECT 0, side, host, n / sum(n) OVER (PARTITION BY side) FROM seed UNION ALL SELECT j + 1, side, dst, sum(r * p) FROM (SELECT w.j, w.side, step.dst, w.r, step.p FROM w JOIN step ON step.side = w.side AND step.src = w.host WHERE w.j < 240) GROUP BY ALL),
+rank AS (SELECT side, host, sum(r) / sum(sum(r)) OVER (PARTITION BY side) AS r FROM w GROUP BY side, host), k AS (SELECT host, coalesce(sum(r) FILTER (side = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (side = 'distrust'), 0) AS distrust FROM rank GROUP BY host),
+least AS (SELECT 1e-6 / greatest(1, count(*)) AS least FROM seed WHERE side = 'distrust')
+SELECT page_id, u.host, path, rule, coalesce(ruled, CASE WHEN distrust > 2 * trust AND distrust >= least THEN 'block' ELSE 'allow' END) AS verdict FROM u CROSS JOIN least LEFT JOIN k ON k.host = u.host"""
 
 ORACLES: dict[str, str] = {"op1_url_filter": _OP1, "op4_secret_scan": _OP4, "op6_benchmark_decontamination": _OP6}
