@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.runtime import materialise
+from kinfold.llm.names import fresh_names
+from kinfold.runtime import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,8 +26,8 @@ _RUN = re.compile("[0-9]+")
 _EDGE = ".,;:!?()[]{}<>\"'"
 #: A word counts as a candidate identifier with an @ or so many digits.
 CANDIDATE_DIGITS = 4
-#: Characters on either side in which context words and word ends are looked for.
-REACH = 80
+_SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,30 +90,29 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words with an @ or CANDIDATE_DIGITS digits that touch no base span, without marks at their ends."""
+    """Whole words with an @ or CANDIDATE_DIGITS digits that touch no base span, without marks at their ends, however long; one pass over the text."""
     out: list[tuple[int, int]] = []
     marks = sorted((a, b) for _, a, b in taken)
-    last = k = 0
-    hits = sorted([m.start() for m in _RUN.finditer(text)] + [m.start() for m in re.finditer("@", text)])
-    for at in hits:
+    last = k = covered = 0
+    for at in sorted([m.start() for m in _RUN.finditer(text)] + [m.start() for m in re.finditer("@", text)]):
         if at < last:
             continue
-        start, end = at, at + 1
-        while start > max(0, last, at - REACH) and not text[start - 1].isspace():
+        start = at
+        while start > last and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and end < at + REACH and not text[end].isspace():
-            end += 1
-        last = end
+        stop = _SPACE.search(text, at)
+        last = end = stop.start() if stop else len(text)
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
         word = text[start:end]
-        if "@" not in word and sum(c.isdigit() for c in word) < CANDIDATE_DIGITS:
+        if "@" not in word and sum(c in "0123456789" for c in word) < CANDIDATE_DIGITS:
             continue
-        while k < len(marks) and marks[k][1] <= start:
+        while k < len(marks) and marks[k][0] < end:
+            covered = max(covered, marks[k][1])
             k += 1
-        if not any(a < end and start < b for a, b in marks[k : k + 4]):
+        if covered <= start:
             out.append((start, end))
     return out
 
@@ -122,10 +123,19 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns around a span: the two words before it, and the word before with the word after."""
-    left = text[max(0, start - REACH) : start].lower().split()[-2:]
-    right = text[end : end + REACH].lower().split()[:1]
+def contexts(text: str, words: tuple[list[int], list[int]], start: int, end: int) -> list[int]:
+    """Hashes of the lexical patterns around a span: the two words before it, and the word before with the word after.
+
+    words: starts and ends of the text's words. What a span leaves of its own word counts as a word.
+    """
+    starts, ends = words
+    i = bisect_right(ends, start)  # the first word that ends after the span's start
+    left = [text[a:b] for a, b in zip(starts[max(0, i - 2) : i], ends[max(0, i - 2) : i])]
+    if i < len(starts) and starts[i] < start:
+        left.append(text[starts[i] : start])
+    j = bisect_right(ends, end)
+    right = [text[max(starts[j], end) : ends[j]].lower()] if j < len(starts) else []
+    left = [w.lower() for w in left[-2:]]
     if not left:
         return []
     forms = ["\x00".join(["L", *left])] if len(left) == 2 else []
@@ -145,7 +155,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base.append(joined(spans))
                 keys.append(_hash(text))
                 own = [(k, a, e) for k, a, e in spans] + [(None, a, e) for a, e in candidates(text, spans)] if spans or _DIGIT.search(text) or "@" in text else []
-                found.append([{"kind": k, "start": a, "end": e, "instance": _hash(text[a:e].lower()), "patterns": contexts(text, a, e)} for k, a, e in own])
+                words = ([m.start() for m in _WORD.finditer(text)], [m.end() for m in _WORD.finditer(text)]) if own else ([], [])
+                found.append([{"kind": k, "start": a, "end": e, "instance": _hash(text[a:e].lower()), "patterns": contexts(text, words, a, e)} for k, a, e in own])
             cols = [b.column(0), pa.array(keys, pa.int64())] + [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(base, pa.string()), pa.array(found, occurrence)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "found"])
@@ -157,12 +168,15 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_extract, shape)
 
 
-def discover(base: DataFrame, rounds: int = 3, sure: float = 0.8, support: float = 3.0) -> DataFrame:
+def discover(base: DataFrame, sure: float = 0.8, support: float = 3.0) -> DataFrame:
     """(id, key, more): for the rows that have some, the added spans as an array of (kind, start, end).
 
     A pattern's score for a kind is the weight of its instances known to be of that kind over the number of all its instances plus one,
-    if that weight is `support` or more. An unknown instance belongs to a kind with probability 1 - prod(1 - score) over its patterns,
-    and joins the known ones from `sure` on. After the rounds, all unknown words whose instance was accepted are spans, of its most probable kind.
+    if that weight is `support` or more. An unknown instance belongs to a kind with probability 1 - prod(1 - score) over its patterns, and
+    joins the known ones with that weight from `sure` on. Rounds go on until one accepts nothing, so contexts that no seed has come in by
+    way of accepted instances; every round but the last accepts one instance at least. Then all unknown words whose instance was
+    accepted are spans, of its weightiest kind (of equal ones the first). Weights are rounded to nine places, so that the order of sums does not count.
+
     Patterns of fewer instances than `support` can have no score and those without unknown words no effect; only these are left out.
     """
     every = base.where(F.size("found") > 0).select("id", "key", F.explode("found").alias("o")).select("id", "key", "o.kind", "o.start", "o.end", "o.instance", "o.patterns")
@@ -170,27 +184,35 @@ def discover(base: DataFrame, rounds: int = 3, sure: float = 0.8, support: float
     pairs = materialise(every.select(F.explode("patterns").alias("pattern"), "instance", F.col("kind").isNull().alias("open")).groupBy("pattern", "instance").agg(F.max("open").alias("open")))
     sizes = materialise(pairs.groupBy("pattern").agg(F.count("*").alias("size"), F.max("open").alias("open")).where((F.col("size") >= support) & F.col("open")).select("pattern", "size"))
     links = materialise(pairs.join(sizes, "pattern", "left_semi"))
-    unknown = links.where("open").select("pattern", "instance")
-    known = seeds
-    for _ in range(rounds):
-        weight = links.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
-        scored = weight.where(F.col("weight") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("weight") / (F.col("size") + 1)).alias("score"))
-        belief = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("weight")).where(F.col("weight") >= sure)
-        new = belief.join(seeds.select("instance").distinct(), "instance", "left_anti")
-        known = materialise(seeds.unionByName(new))
-    accepted = known.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("weight"), "kind")).alias("kind"))
-    ours = every.where("kind is null").select("id", "key", "start", "end", "instance").join(accepted, "instance").select("id", "key", "kind", "start", "end").distinct()
+    unknown = links.where("open").join(seeds.select("instance").distinct(), "instance", "left_anti").select("pattern", "instance")
+    new, weights, accepted = seeds, None, None
+    while True:
+        gained = links.join(new, "instance").groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
+        after = materialise(gained if weights is None else weights.unionByName(gained).groupBy("pattern", "kind").agg(F.round(F.sum("weight"), 9).alias("weight")))
+        if weights is not None:
+            discard(weights)
+        weights = after
+        scored = weights.where(F.col("weight") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("weight") / (F.col("size") + 1)).alias("score"))
+        belief = unknown.join(scored, "pattern").groupBy("instance", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("score")))), 9).alias("weight")).where(F.col("weight") >= sure)
+        new = materialise(belief if accepted is None else belief.join(accepted.select("instance", "kind"), ["instance", "kind"], "left_anti"))
+        if not new.head(1):
+            break
+        accepted = new if accepted is None else materialise(accepted.unionByName(new))
+    for done in (weights, links, sizes, pairs, seeds):
+        discard(done)
+    known = (new if accepted is None else accepted).groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("weight"), "kind")).alias("kind"))
+    ours = every.where("kind is null").select("id", "key", "start", "end", "instance").join(known, "instance").select("id", "key", "kind", "start", "end").distinct()
     return ours.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end by kind, then start).
 
     Null and empty texts have no spans. Rows with equal ids and texts get equal results and stay separate rows; a null id
     stays null. Other columns are ignored; an empty table gives no rows. Whole texts are read, once.
     """
     base = materialise(extract(docs, id_col, text_col))
-    more = discover(base, rounds).select(F.col("id").alias("more_id"), F.col("key").alias("more_key"), "more")
+    more = discover(base).select(F.col("id").alias("more_id"), F.col("key").alias("more_key"), "more")
     rows = base.drop("found").join(more, base["id"].eqNullSafe(F.col("more_id")) & (base["key"] == F.col("more_key")), "left")
     place = F.array(*map(F.lit, KINDS))
     parts = F.filter(F.split("base", ","), lambda s: s != "")
@@ -213,14 +235,16 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, name, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", rounds: int = 3) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """The rows of docs, all columns, with base and discovered spans masked and n_chars, where there is such a column, counted anew.
 
-    The discovered spans come in by a join whose smaller side Spark broadcasts only while it is under its own size limit.
+    The discovered spans come in by a join whose smaller side Spark broadcasts only while it is under its own size limit. Null texts stay null,
+    repeated rows stay repeated, names of docs cannot clash with those used here; an empty table gives no rows.
     """
-    more = materialise(discover(materialise(extract(docs, id_col, text_col)), rounds).select(F.col("id").alias("_more_id"), F.col("key").alias("_more_key"), F.col("more").alias("_more")))
+    i, k, m = fresh_names(docs.columns, "more_id", "more_key", "more")
+    more = materialise(discover(materialise(extract(docs, id_col, text_col))).toDF(i, k, m))
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    joined_ = docs.join(more, docs[id_col].eqNullSafe(F.col("_more_id")) & (key == F.col("_more_key")), "left").select(*docs.columns, "_more")
+    joined_ = docs.join(more, docs[id_col].eqNullSafe(F.col(i)) & (key == F.col(k)), "left").drop(i, k)
     column = docs.columns.index(text_col)
     count = docs.columns.index(count_col) if count_col in docs.columns else None
 

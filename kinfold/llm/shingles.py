@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.names import fresh_names
 from kinfold.llm.simhash import SMALL_GROUP
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import materialise
@@ -206,7 +207,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = connected_components(first.unionByName(rest)).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.select(F.col("least.id").alias("_kept_id"), F.col("least.key").alias("_kept_key"))
-    named = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    stay = named.join(kept, named[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
-    return stay.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    i, k, own = fresh_names(docs.columns, "kept_id", "kept_key", "key")
+    kept = kept.select(F.col("least.id").alias(i), F.col("least.key").alias(k))
+    named = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    stay = named.join(kept, named[id_col].eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left_semi")
+    return stay.dropDuplicates([id_col, own]).drop(own)
