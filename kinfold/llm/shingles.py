@@ -1,4 +1,7 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles: prefix filtering finds every pair, each is verified in full."""
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+
+SimHash with multi-index hashing links most copies; prefix filtering finds every pair that its radius misses. Each pair is verified in full.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm import simhash
 from kinfold.llm.names import fresh_names
 from kinfold.llm.simhash import SMALL_GROUP
 from kinfold.operators.graph import connected_components
@@ -24,12 +28,8 @@ MAP = 2048
 
 
 def grams(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a text of at most width words is one shingle, one of no words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def set_id(own: np.ndarray) -> int:
@@ -75,9 +75,10 @@ def _keyed(common: np.ndarray):
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
-                own = [grams(t.as_py()) for t in b.column(1)]
-                cols = [b.column(0), b.column(2), _signed([set_id(g) for g in own]), pa.array([len(g) for g in own], pa.int64()), _lists([prefix(g, common) for g in own]), pa.array([bitmap(g) for g in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "sid", "n", "prefix", "map"])
+                every = [simhash.shingle_hashes(t.as_py(), WIDTH) for t in b.column(1)]
+                own = [np.unique(h) for h in every]
+                cols = [b.column(0), b.column(2), _signed([simhash.majority(h) for h in every]), _signed([set_id(g) for g in own]), pa.array([len(g) for g in own], pa.int64()), _lists([prefix(g, common) for g in own]), pa.array([bitmap(g) for g in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "fp", "sid", "n", "prefix", "map"])
 
     return run
 
@@ -182,17 +183,29 @@ def common_grams(texts: DataFrame) -> np.ndarray:
     return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
 
 
+def simhash_pairs(keyed: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b) of set ids whose SimHash fingerprints differ by `distance` bits at most: those that multi-index hashing links, each
+    fingerprint standing for its smallest set id, and that id with the others of the fingerprint."""
+    sets = materialise(keyed.select("fp", "sid").distinct())
+    least = materialise(sets.groupBy("fp").agg(F.min("sid").alias("low")))
+    linked = simhash.links(least, distance)
+    across = linked.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return across.unionByName(sets.join(least, "fp").where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, one of each component of texts linked by a Jaccard similarity of their 5-word shingles of 0.8 or more:
     that of the smallest id (then of the smallest hash of the text).
 
-    Every such pair shares a shingle of both prefixes. Pairs with a shingle's first set are verified first; pairs within a component
-    found so need no look, so that a large group of near copies makes no pair list. Texts without words are alike.
-    Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose ids are all null keeps one row.
+    SimHash finds most links, but similarity 0.8 is ten differing bits on average, which no index over segments can look up; so pairs
+    that share a shingle of both prefixes, as all such pairs do, come second. First those with a shingle's first set are verified along with
+    those of SimHash; pairs within a component found so need no look, so that a large group of near copies makes no pair list.
+    Texts without words are alike. Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose
+    ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    keyed = materialise(texts.mapInArrow(_keyed(common_grams(texts)), f"id {kind}, key long, sid long, n long, prefix array<long>, map binary"))
+    keyed = materialise(texts.mapInArrow(_keyed(common_grams(texts)), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
     sets = keyed.select("sid", "n", "prefix").distinct()
     maps = keyed.select("sid", "n", "map").distinct()
 
@@ -200,7 +213,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         each = rows.select("sid", "n", "part", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sid", "n", F.col("pos").cast("long").alias("pos"), "part")
         return materialise(each.repartition("gram").sortWithinPartitions("gram", "n", "sid").mapInArrow(_pairs(star), "a long, b long").distinct())
 
-    first = verified(candidates(sets.withColumn("part", F.col("sid")), True), texts, maps)
+    stars = candidates(sets.withColumn("part", F.col("sid")), True)
+    first = verified(materialise(stars.unionByName(simhash_pairs(keyed)).distinct()), texts, maps)
     roots = connected_components(first).select(F.col("node").alias("sid"), "root")
     parts = sets.join(roots, "sid", "left").select("sid", "n", "prefix", F.coalesce("root", "sid").alias("part"))
     rest = verified(candidates(parts, False), texts, maps)

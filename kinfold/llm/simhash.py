@@ -21,26 +21,34 @@ SMALL_GROUP = 32
 THREE_SEGMENTS_UP_TO = 1 << 27
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash of a text's word shingles; no words: 0."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle in text order, repeats included; a text of at most width words is one shingle, one of no words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
     digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, 42)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = end - size
     n = len(words) - width + 1
+    a, b = (end - size)[:n].tolist(), end[width - 1 :].tolist()
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(a, b)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes: a bit is 1 if it is in over half of them; of none 0."""
     total = np.zeros(BITS, np.int64)
-    step = 1 << 14
-    a, b = start[:n].tolist(), end[width - 1 :].tolist()
-    for k in range(0, n, step):
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(a[k : k + step], b[k : k + step])], ">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+    for k in range(0, len(hashes), 1 << 14):
+        planes = np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += planes.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64-bit SimHash of a text's word shingles; no words: 0."""
+    return majority(shingle_hashes(text, width))
 
 
 def _fingerprints(width: int):
@@ -69,8 +77,8 @@ def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
     return [(lo, hi - lo, k if i <= a else k - 1) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if (k if i <= a else k - 1) >= 0]
 
 
-def _ball(bits: int, radius: int) -> np.ndarray:
-    """Masks of at most radius bits within so many bits."""
+def _masks(bits: int, radius: int) -> np.ndarray:
+    """Masks of at most radius bits within so many bits, the empty one first."""
     masks, last = [0], [(0, 0)]
     for _ in range(radius):
         last = [(m | 1 << j, j + 1) for m, i in last for j in range(i, bits)]
@@ -79,15 +87,22 @@ def _ball(bits: int, radius: int) -> np.ndarray:
 
 
 def _probes(parts: list[tuple[int, int, int]]):
+    """(key, fp, probe): the index row of each segment's own value, and a probe for each other value of its ball.
+
+    Of two values within the ball of each other one probe is enough: that of the one without the highest differing bit.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 4096):
                 fp = whole.column(0).slice(at, 4096).to_numpy().view(np.uint64)
                 for i, (lo, bits, radius) in enumerate(parts):
                     value = (fp >> np.uint64(lo)) & np.uint64((1 << bits) - 1)
-                    for masks in np.array_split(_ball(bits, radius), max(1, (bits**radius) // 64)):
-                        key = (value[:, None] ^ masks[None, :]) | np.uint64(i << 40)
-                        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["key", "fp"])
+                    for masks in np.array_split(_masks(bits, radius), max(1, (bits**radius) // 64)):
+                        top = np.array([1 << (int(m).bit_length() - 1) if m else 0 for m in masks], np.uint64)
+                        row, col = np.nonzero((value[:, None] & top[None, :]) == 0)
+                        key = (value[row] ^ masks[col]) | np.uint64(i << 40)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array((masks[col] > 0).astype(np.int8))], ["key", "fp", "probe"])
 
     return run
 
@@ -107,7 +122,7 @@ def local_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             near = np.bitwise_count(left ^ x) <= distance
             found = left[near]
             if len(found):
-                a.append(np.full(len(found), root))
+                a.append(np.full(len(found), x))
                 b.append(found)
                 queue.extend(found[::-1])
                 left = left[~near]
@@ -115,50 +130,51 @@ def local_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (or chains of links to a group's root) among fingerprints with equal keys; key is sorted."""
+def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints with equal keys, all of index rows with index rows and probes in small groups, a spanning forest in large ones; key is sorted."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     of = np.repeat(size, size)
     a, b = [], []
     small = of <= SMALL_GROUP
-    k, f = key[small], fp[small]
+    k, f, p = key[small], fp[small], probe[small]
     for d in range(1, int(of[small].max()) if small.any() else 0):
-        i = np.flatnonzero(k[:-d] == k[d:])
+        i = np.flatnonzero((k[:-d] == k[d:]) & ((p[:-d] & p[d:]) == 0))
         i = i[np.bitwise_count(f[i] ^ f[i + d]) <= distance]
         a.append(f[i])
         b.append(f[i + d])
     for s, n in zip(start[size > SMALL_GROUP], size[size > SMALL_GROUP]):
-        x, y = local_links(fp[s : s + n], distance)
-        a.append(x)
-        b.append(y)
+        if not probe[s : s + n].all():
+            x, y = local_links(fp[s : s + n], distance)
+            a.append(x)
+            b.append(y)
     none = [np.zeros(0, np.uint64)]
     return np.concatenate(a + none), np.concatenate(b + none)
 
 
 def _link(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = [], []
+        held: list[list[np.ndarray]] = [[], [], []]
+        count = 0
 
-        def out(k, f):
-            a, b = bucket_links(k, f.view(np.uint64), distance)
+        def out(k, f, p):
+            a, b = bucket_links(k, f.view(np.uint64), p, distance)
             ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(ends[0].view(np.int64)), pa.array(ends[1].view(np.int64))], ["a", "b"])
 
-        held = 0
         for batch in batches:
             if not len(batch):
                 continue
-            keys.append(batch.column(0).to_numpy())
-            fps.append(batch.column(1).to_numpy())
-            held += len(batch)
-            if held >= 1 << 17 and keys[-1][-1] != keys[0][0]:
-                k, f = np.concatenate(keys), np.concatenate(fps)
-                cut = int(np.searchsorted(k, k[-1]))
-                yield out(k[:cut], f[:cut])
-                keys, fps, held = [k[cut:]], [f[cut:]], len(k) - cut
-        if held:
-            yield out(np.concatenate(keys), np.concatenate(fps))
+            for h, c in zip(held, batch.columns):
+                h.append(c.to_numpy())
+            count += len(batch)
+            if count >= 1 << 17 and held[0][-1][-1] != held[0][0][0]:
+                cols = [np.concatenate(h) for h in held]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                yield out(*(c[:cut] for c in cols))
+                held, count = [[c[cut:]] for c in cols], len(cols[0]) - cut
+        if count:
+            yield out(*(np.concatenate(h) for h in held))
 
     return run
 
@@ -170,15 +186,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(distinct: DataFrame, distance: int = 4, count: int | None = None) -> DataFrame:
-    """Edges (a, b) whose connected components are those of all pairs of fingerprints within the distance.
+    """Edges (a, b) of fingerprints within the distance, whose connected components are those of all such pairs.
 
-    Multi-index hashing: each fingerprint goes to every key of a small Hamming ball around each of its segments;
-    fingerprints that meet under a key are compared in full. A key's rows are
-    distinct fingerprints, eight bytes each, and its links leave as a spanning forest, never as all pairs.
+    Multi-index hashing: a fingerprint has an index row under each segment's own value and probes for the other values of a small
+    Hamming ball around it; those that meet under a key are compared in full. A key's rows are distinct fingerprints, eight bytes each,
+    and the links of a large group leave as a spanning forest, never as all pairs.
     """
     n = distinct.count()
     parts = segments(count or (3 if n <= THREE_SEGMENTS_UP_TO else 2), distance)
-    rows = distinct.select("fp").mapInArrow(_probes(parts), "key long, fp long")
+    rows = distinct.select("fp").mapInArrow(_probes(parts), "key long, fp long, probe byte")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link(distance), "a long, b long").where("a <> b")
 
 

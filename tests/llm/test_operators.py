@@ -13,7 +13,7 @@ import pytest
 pytest.importorskip("kinfold.llm")
 
 from kinfold.llm import decontam, imatch, labelled, licences, packing, pii, quality, secrets, simhash, toxicity, urls  # noqa: E402
-from kinfold.llm.queries import word_bpe  # noqa: E402
+from kinfold.llm.queries import op2_simhash_near_dedup, word_bpe  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, id string, key string, fp string, words string, score string, n string"
@@ -131,7 +131,18 @@ def test_a_group_of_many_near_copies_has_a_spanning_forest():
     rng = np.random.default_rng(4)
     fp = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << rng.integers(0, 64, (4000, 2), dtype=np.uint64)).sum(axis=1))
     a, b = simhash.local_links(fp, 4)
-    assert len(a) <= len(fp) and np.all(np.isin(b, fp))
+    assert len(a) <= len(fp) and np.all(np.isin(b, fp)) and np.all(np.bitwise_count(a ^ b) <= 4)
+
+
+def test_near_duplicates_of_a_table_match_all_pairs(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fp = np.array([brute_fingerprint(r.text) for r in rows], np.uint64)
+    root = components(len(rows), lambda i: np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4).tolist())
+    least = {}
+    for r, k in zip(rows, root):
+        least[k] = min(least.get(k, r.doc_id), r.doc_id)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op2_simhash_near_dedup(spark, sf).collect()}
+    assert got == {r.doc_id: (f"{int(x):016x}", least[k]) for r, x, k in zip(rows, fp, root)}
 
 
 # 3
