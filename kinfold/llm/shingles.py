@@ -17,14 +17,14 @@ from kinfold.llm import simhash
 from kinfold.llm.names import fresh_names
 from kinfold.llm.simhash import SMALL_GROUP
 from kinfold.operators.graph import connected_components
-from kinfold.runtime import materialise
+from kinfold.runtime import discard, materialise
 
 #: Words of a shingle.
 WIDTH = 5
 #: Shingles in more than this share of a sample of texts come last in the order of shingles. Any order finds all pairs; this one keeps groups small.
-COMMON = 0.001
-#: Bits of a set's bitmap.
-MAP = 2048
+COMMON = 0.0002
+#: Bits of a set's first bitmap; the second has 8 to 16 for each shingle.
+MAP = 1024
 
 
 def grams(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -47,13 +47,18 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1] if len(own) else own
 
 
-def bitmap(own: np.ndarray) -> bytes:
+def bitmap(own: np.ndarray, size: int = MAP) -> bytes:
     """One bit for each shingle; a bit that another set's map lacks stands for at least one shingle that the other lacks."""
-    bits = np.zeros(MAP, np.uint8)
-    bits[(own % np.uint64(MAP)).astype(np.int64)] = 1
+    bits = np.zeros(size, np.uint8)
+    bits[(own % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of a power of two bits as the one of fewer bits that the same set has."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
 def _signed(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
@@ -83,20 +88,50 @@ def _keyed(common: np.ndarray):
     return run
 
 
-def _fits(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether two sets that share the shingle at these places of the order can be similar."""
-    most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+def _fits(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether two sets that share the shingle at these places of the order can be similar. at: size and place, 32 bits each."""
+    n, pos = at >> 32, at & 0xFFFFFFFF
+    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
     return alike(most, n[i], n[j])
 
 
-def group_pairs(key: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray]:
+def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """work() over the columns of batches sorted by their first column, so cut that equal keys stay together."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held = held or [[] for _ in batch.columns]
+        for h, c in zip(held, batch.columns):
+            h.append(c.to_numpy())
+        count += len(batch)
+        if count >= 1 << 17 and held[0][-1][-1] != held[0][0][0]:
+            cols = [np.concatenate(h) for h in held]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield work(*(c[:cut] for c in cols))
+            held, count = [[c[cut:]] for c in cols], len(cols[0]) - cut
+    if count:
+        yield work(*(np.concatenate(h) for h in held))
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(gram: np.ndarray, at: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        same = gram[1:] == gram[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, at, sid)], ["gram", "at", "sid"])
+
+    yield from _runs(batches, work)
+
+
+def group_pairs(key: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets under equal keys that can be similar and lie in different parts; with star only those of a key's first set. key is sorted."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     i_, j_ = [], []
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (part[i] != part[j]) & _fits(n, pos, i, j)
+        ok = (part[i] != part[j]) & _fits(at, i, j)
         i_.append(i[ok])
         j_.append(j[ok])
 
@@ -117,30 +152,12 @@ def group_pairs(key: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray
 
 
 def _pairs(star: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(5)]
-        count = 0
-
-        def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = group_pairs(*cols, star)
-            ends = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            for h, c in zip(held, batch.columns):
-                h.append(c.to_numpy())
-            count += len(batch)
-            if count >= 1 << 17 and held[0][-1][-1] != held[0][0][0]:
-                cols = [np.concatenate(h) for h in held]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                yield out([c[:cut] for c in cols])
-                held, count = [[c[cut:]] for c in cols], len(cols[0]) - cut
-        if count:
-            yield out([np.concatenate(h) for h in held])
+    def work(*cols: np.ndarray) -> pa.RecordBatch:
+        a, b = group_pairs(*cols, star)
+        ends = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
-    return run
+    return lambda batches: _runs(batches, work)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,29 +172,82 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, n, x, m, y) whose bitmaps x and y let an overlap be large enough."""
     for b in batches:
         if not len(b):
             continue
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(b), -1) for k in (3, 5))
         n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-        most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike(most, n, m)))
+        x, y = b.column(3).to_pylist(), b.column(5).to_pylist()
+        if len({len(v) for v in x} | {len(v) for v in y}) == 1:
+            p, q = (np.frombuffer(b"".join(v), np.uint8).reshape(len(b), -1) for v in (x, y))
+            fewer, more = (np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p)))
+        else:
+            fewer, more = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            for k, (v, w) in enumerate(zip(x, y)):
+                size = min(len(v), len(w))
+                p, q = _folded(np.frombuffer(v, np.uint8), size), _folded(np.frombuffer(w, np.uint8), size)
+                fewer[k], more[k] = np.bitwise_count(p & ~q).sum(), np.bitwise_count(q & ~p).sum()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike(np.minimum(n - fewer, m - more), n, m)))
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = [g.values.to_numpy().view(np.uint64) for g in b.column(1)]
+        maps = [bitmap(g, 1 << max(9, (8 * len(g)).bit_length())) for g in own]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in own], pa.int64()), pa.array(maps, pa.binary())], ["sid", "n", "map"])
+
+
+#: Bits of the filter that names the sets to be verified, at most; beyond, more sets than needed are looked at, with the same result.
+FILTER_BITS = 1 << 27
+
+
+def _filter(need: DataFrame) -> np.ndarray:
+    """A bit for each needed set id, 16 bits of room for each, FILTER_BITS at most."""
+    bits = min(FILTER_BITS, 1 << max(6, (16 * need.count()).bit_length()))
+    place = F.pmod("sid", F.lit(bits))
+    rows = need.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(sid, {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _needed_sets(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = sent.value
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                own = {set_id(g): g for g in (grams(t.as_py()) for t in whole.column(0).slice(at, 1024))}
+                place = np.fromiter(own, np.uint64, len(own)).view(np.int64) % (64 * len(there))
+                hit = (there[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+                keep = [(s, g) for (s, g), h in zip(own.items(), hit.tolist()) if h]
+                yield pa.RecordBatch.from_arrays([_signed([s for s, _ in keep]), _lists([g for _, g in keep])], ["sid", "grams"])
+
+    return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets have a Jaccard similarity of 0.8 or more. Bitmaps (sid, n, map) first bound the overlap from above."""
-    mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-    pairs = materialise(mapped.mapInArrow(_possible, "a long, b long"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    own = texts.select("text").mapInArrow(_sets, "sid long, grams array<long>").join(need, "sid", "left_semi").distinct()
-    own = materialise(own)
-    both = pairs.join(own.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+    """The pairs (a, b) of set ids whose sets have a Jaccard similarity of 0.8 or more. Bitmaps (sid, n, map) bound the overlap from above,
+    and then larger ones of the sets that are left, so that few pairs carry whole sets."""
+
+    def possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+        mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+        return materialise(mapped.mapInArrow(_possible, "a long, b long"))
+
+    some = possible(pairs, maps)
+    need = some.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sent = pairs.sparkSession.sparkContext.broadcast(_filter(need))
+    own = materialise(texts.select("text").mapInArrow(lambda it: _needed_sets(sent)(it), "sid long, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
+    near = possible(some, own.mapInArrow(_mapped, "sid long, n long, map binary"))
+    both = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    out = materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+    for done in (some, near, own):
+        discard(done)
+    return out
 
 
 def common_grams(texts: DataFrame) -> np.ndarray:
     """Shingles in more than COMMON of a sample of the distinct texts. It sets only the order of shingles, so it bears on time and not on results."""
-    some = materialise(texts.where(F.pmod("key", F.lit(64)) == 5).select("text").mapInArrow(_sets, "sid long, grams array<long>").distinct())
+    some = materialise(texts.where(F.pmod("key", F.lit(16)) == 5).select("text").mapInArrow(_sets, "sid long, grams array<long>").distinct())
     least = max(4, COMMON * some.count())
     rows = some.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > least).select("g").toPandas()
     return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
@@ -206,18 +276,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     keyed = materialise(texts.mapInArrow(_keyed(common_grams(texts)), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
-    sets = keyed.select("sid", "n", "prefix").distinct()
-    maps = keyed.select("sid", "n", "map").distinct()
+    maps = keyed.select("sid", "n", "map").dropDuplicates(["sid"])
+    each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
+    shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_repeated, "gram long, at long, sid long"))
 
     def candidates(rows: DataFrame, star: bool) -> DataFrame:
-        each = rows.select("sid", "n", "part", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sid", "n", F.col("pos").cast("long").alias("pos"), "part")
-        return materialise(each.repartition("gram").sortWithinPartitions("gram", "n", "sid").mapInArrow(_pairs(star), "a long, b long").distinct())
+        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_pairs(star), "a long, b long").distinct()
 
-    stars = candidates(sets.withColumn("part", F.col("sid")), True)
+    stars = candidates(shared.withColumn("part", F.col("sid")), True)
     first = verified(materialise(stars.unionByName(simhash_pairs(keyed)).distinct()), texts, maps)
     roots = connected_components(first).select(F.col("node").alias("sid"), "root")
-    parts = sets.join(roots, "sid", "left").select("sid", "n", "prefix", F.coalesce("root", "sid").alias("part"))
-    rest = verified(candidates(parts, False), texts, maps)
+    parts = shared.join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
+    rest = verified(materialise(candidates(parts, False)), texts, maps)
     roots = connected_components(first.unionByName(rest)).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
