@@ -1,4 +1,6 @@
-"""The pipeline's stages against brute force on what each reads, at a small size."""
+"""The pipeline's stages against brute force on what each reads, at a small size, and run() over odd tables."""
+
+from collections import defaultdict
 
 import pytest
 
@@ -9,12 +11,30 @@ from kinfold.llm import packing, toxicity  # noqa: E402
 from kinfold.llm.queries import table, toxicity_model, word_bpe  # noqa: E402
 from kinfold.runtime import materialise  # noqa: E402
 
-from test_operators import brute_fingerprint, brute_hits, brute_personal, components  # noqa: E402
+from test_operators import brute_hits, brute_personal, components  # noqa: E402
+from test_shingles import brute_set  # noqa: E402
 
 
-def test_every_stage_does_its_work(spark, sf):
-    import numpy as np
+def brute_near(texts):
+    """For each text its component under links of Jaccard similarity 0.8 or more between sets of 5-word shingles."""
+    sets = [brute_set(t) for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s or {()}:
+            holders[g].append(i)
+    shared = defaultdict(int)
+    for own in holders.values():
+        for n, i in enumerate(own):
+            for j in own[:n]:
+                shared[i, j] += 1
+    linked = defaultdict(list)
+    for (i, j), n in shared.items():
+        if not sets[i] or 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
+            linked[i].append(j)
+    return components(len(texts), lambda i: linked[i])
+
 
+def test_every_stage_does_its_work(spark, sf):
     before = table(spark, sf, "documents")
     stages = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -27,10 +47,8 @@ def test_every_stage_does_its_work(spark, sf):
     score = {r.doc_id: r.score for r in toxicity.score(table(spark, sf, "documents"), toxicity_model(spark, sf)).collect()}
     assert {r.doc_id for r in new} == {r.doc_id for r in old if score[r.doc_id] < 0.5}
     old, new = stages["simhash_near_dedup"]
-    fp = np.array([brute_fingerprint(r.text) for r in old], np.uint64)
-    root = components(len(old), lambda i: np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4).tolist())
     least = {}
-    for r, k in zip(old, root):
+    for r, k in zip(old, brute_near([r.text for r in old])):
         least[k] = min(least.get(k, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in new) == sorted(least.values())
     old, new = stages["benchmark_decontamination"]
@@ -46,3 +64,38 @@ def test_every_stage_does_its_work(spark, sf):
     old, new = stages["best_fit_packing"]
     own = packing.coder(word_bpe())
     assert sum(r.length for r in new) == sum(len(x) // 4 + 1 for x in own.encode([r.text for r in old]))
+
+
+#: Columns with names that the stages use themselves.
+MORE = "key string, _key string, kept_id string, more string, _more string, id string, n string"
+
+
+def write_tables(spark, folder, rows, labels, items):
+    spark.createDataFrame([(*r, *"abcdefg") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {MORE}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_over_nulls_empties_repeats_and_clashing_columns(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten"
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "  \n", "en", "s", 3), (None, "a text whose id is null", "en", "s", 23), (5, words, "en", "s", len(words)), (5, words, "en", "s", len(words)), (6, words + " tail", "en", "s", 9)]
+    rows += [(7, f"before {passage} after", "en", "s", 9), (8, "mail to a@b.com now", "en", "s", 19), (9, "x " * 50_000, "en", "s", 100_000), (8, "another text of the same id", "en", "s", 9)]
+    write_tables(spark, tmp_path, rows, [(1, 1, 0), (None, 1, 1), (77, None, None)], [(1, passage), (None, None), (2, "")])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ends = defaultdict(int)
+    for r in got:
+        ends[r.doc_id] += r.piece == 0
+    assert ends == {1: 1, None: 1, 5: 1, 8: 2, 9: 1}
+    docs = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == table(spark, str(tmp_path), "documents").columns, name
+        assert all((r.key, r._key, r.kept_id, r.more, r._more, r.id, r.n) == tuple("abcdefg") for r in docs.collect()), name
+    assert {r.text for r in docs.collect() if r.doc_id == 8} == {"mail to [EMAIL] now", "another text of the same id"}
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [], [], [])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and "sequence_id" in got.columns
