@@ -22,6 +22,8 @@ _LETTER = "a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xffœ"
 _NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 #: The vocabulary's own splitting rule, written for those characters.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+#: Special tokens (<|startoftext|>, <|endoftext|>) are ids of their own wherever they stand.
+_OPEN = "<|"
 #: Words kept in a worker's memory; beyond it the store starts anew, which changes speed only.
 WORDS_KEPT = 400_000
 
@@ -30,14 +32,13 @@ class WordCoder:
     """Ids of texts by a word-end BPE vocabulary, word by word.
 
     A word's ids depend on the word alone, so known words come from a store and only new ones go to
-    the tokenizer, many at once. Texts with characters outside the plain set go to the tokenizer whole.
+    the tokenizer, many at once. Texts with characters outside the plain set, or with what opens a special token's name, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
@@ -60,7 +61,7 @@ class WordCoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        cut = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        cut = [_SPLIT.findall(t.lower()) if _OPEN not in t and _PLAIN.fullmatch(t) else None for t in texts]
         words = list(itertools.chain.from_iterable(c for c in cut if c))
         parts = list(map(self.known.get, words))
         gaps = [i for i, p in enumerate(parts) if p is None]
@@ -114,87 +115,98 @@ def _pieces(path: str | Callable[[], str], capacity: int, keep_ids: bool):
     return run
 
 
-def _complement(gap: int, count: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths whose sum is the gap, the longest first; None if there are none.
+class Sums:
+    """Index of the sums of one, two and three available lengths.
 
-    The index of single lengths is the availability array; the pair index of a sum is the product of that array with its
-    mirror image, and a triple is a length together with a pair for the rest.
+    For each sum there is a list of its pairs (the longer length of each), and a list of the first lengths of its triples, both made when the
+    sum is first asked for. Availability only falls while lengths are used up, so an entry that has run out is passed over for good and each
+    list is walked once. A triple is a first length with a pair of the rest, found through the pair index.
     """
-    if gap <= 0:
+
+    def __init__(self, count: np.ndarray):
+        self.count = count
+        self.there = np.flatnonzero(count)
+        self.pairs: dict[int, tuple[list[int], int]] = {}
+        self.firsts: dict[int, tuple[list[int], int]] = {}
+
+    def _has(self, *lengths: int) -> bool:
+        return all(self.count[a] >= lengths.count(a) for a in lengths)
+
+    def pair(self, total: int, but: int = 0) -> list[int] | None:
+        """The pair with the longest length whose sum is the total; with `but` one of that length is spoken for."""
+        if total not in self.pairs:
+            own = self.there[(2 * self.there >= total) & (self.there < total)]
+            self.pairs[total] = (own[self.count[total - own] > 0][::-1].tolist(), 0)
+        own, at = self.pairs[total]
+        while at < len(own) and not self._has(own[at], total - own[at]):
+            at += 1
+        self.pairs[total] = (own, at)
+        taken = (but,) if but else ()
+        return next(([a, total - a] for a in own[at:] if self._has(a, total - a, *taken)), None)
+
+    def triple(self, total: int) -> list[int] | None:
+        if total not in self.firsts:
+            self.firsts[total] = (self.there[(3 * self.there >= total) & (self.there < total - 1)][::-1].tolist(), 0)
+        own, at = self.firsts[total]
+        for k in range(at, len(own)):
+            a = own[k]
+            if self.count[a] and (found := self.pair(total - a, a)):
+                self.firsts[total] = (own, k)
+                return [a, *found]
+        self.firsts[total] = (own, len(own))
         return None
-    if gap < len(count) and count[gap]:
-        return [gap]
-    there = count > 0
-
-    def pair(total: int, first: int) -> list[int] | None:
-        top = min(total - 1, first, len(count) - 1)
-        low = (total + 1) // 2
-        if top < low:
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths whose sum is the gap, the fewest first, among equally many the longest first; None if there are none."""
+        if gap <= 0:
             return None
-        a = np.arange(top, low - 1, -1)
-        fits = there[a] & there[total - a] & ((2 * a != total) | (count[a] >= 2))
-        k = int(fits.argmax())
-        return [int(a[k]), total - int(a[k])] if fits[k] else None
-
-    if found := pair(gap, gap):
-        return found
-    for a in np.flatnonzero(there[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        count[a] -= 1
-        there[a] = count[a] > 0
-        found = pair(gap - a, a)
-        count[a] += 1
-        there[a] = True
-        if found:
-            return [a, *found]
-    return None
-
-
-def _fill(count: np.ndarray, capacity: int, exact: bool, defer: bool) -> list[tuple[int, list[int]]]:
-    """Patterns that use up count. Each starts with the longest length left; with `exact`, lengths with exactly the remaining sum close it while
-    there are some, and else the longest that fits goes in (best fit) and the search goes on. With `defer`, patterns that do not close exactly wait
-    until all others are made. A pattern repeats as often as its lengths last."""
+        if gap < len(self.count) and self.count[gap]:
+            return [gap]
+        return self.pair(gap) or self.triple(gap)
+
+
+def _fill(count: np.ndarray, capacity: int, defer: bool) -> list[tuple[int, list[int]]]:
+    """Patterns that use up count. Each starts with the longest length left; one, two or three lengths of exactly the remaining sum close it while there
+    are some, and else the longest that fits goes in (best fit) and the search goes on. With `defer`, patterns that do not close exactly wait until
+    all others are made. A pattern repeats as often as its lengths last."""
     plans, waiting = [], np.zeros_like(count)
-    count = count.copy()
+    sums = Sums(count.copy())
+    count = sums.count
     while count.any():
         gap, own = capacity, []
-        left = count.copy()
         while gap > 0:
-            here = np.flatnonzero(left[: gap + 1])
-            if not len(here):
-                break
-            if own and exact and (found := _complement(gap, left)):
+            if own and (found := sums.exact(gap)):
                 own += found
+                np.subtract.at(count, found, 1)
                 gap = 0
                 break
-            if own and defer:
+            here = np.flatnonzero(count[: gap + 1])
+            if not len(here) or own and defer:
                 break
             a = int(here[-1])
             own.append(a)
-            left[a] -= 1
+            count[a] -= 1
             gap -= a
         used = np.bincount(own, minlength=capacity + 1)
-        times = int((count[used > 0] // used[used > 0]).min())
-        count -= times * used
+        more = int((count[used > 0] // used[used > 0]).min())
+        count -= more * used
         if defer and gap:
-            waiting += times * used
+            waiting += (more + 1) * used
         else:
-            plans.append((times, own))
-    return plans + (_fill(waiting, capacity, exact, False) if waiting.any() else [])
+            plans.append((more + 1, own))
+    return plans + (_fill(waiting, capacity, False) if waiting.any() else [])
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(how many sequences, the lengths in each) that use up the histogram: the shortest of three plans.
+    """(how many sequences, the lengths in each) that use up the histogram: the shorter of two plans.
 
-    One closes gaps exactly where it can as it goes, one makes all exactly closed sequences first and best-fits the residuals, one is
-    best fit alone. There are about as many patterns as different lengths, whatever the number of documents.
+    One closes gaps exactly where it can as it goes and puts the best fit elsewhere; the other makes all sequences that close at once first and
+    then treats the residuals like that. There are about as many patterns as different lengths, whatever the number of documents.
     """
     count = np.zeros(capacity + 1, np.int64)
     for k, v in histogram.items():
         count[k] += v
-    options = [_fill(count, capacity, True, False), _fill(count, capacity, True, True), _fill(count, capacity, False, False)]
-    return min(options, key=lambda p: sum(n for n, _ in p))
+    return min((_fill(count, capacity, defer) for defer in (False, True)), key=lambda p: sum(n for n, _ in p))
 
 
 def _slots(plans: list[tuple[int, list[int]]]) -> dict[int, tuple[list[int], list[int], list[int]]]:
@@ -232,6 +244,9 @@ def _place(slots: dict[int, tuple[list[int], list[int], list[int]]], names: list
 def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids with keep_ids).
 
+    Pieces of equal length take their places in the order of a hashed bucket, id, piece and ids; pieces equal in all of these are alike, so
+    which of them comes first makes no difference.
+
     Null text is empty and gives the end id alone; each document ends with the end id; only documents of more than `capacity`
     ids are cut. A null id stays null. Repeated rows are packed each on their own. An empty table gives no rows. Other columns of docs are ignored.
 
