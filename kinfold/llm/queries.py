@@ -92,13 +92,13 @@ def _places(number: int, pattern: str, group: int, least: int) -> str:
 _QUOTE = chr(39) * 2
 _ASSIGN = f"""(?i:password|passwd|secret|token|api_?key)["{_QUOTE}]?\\x20*[:=]\\x20*["{_QUOTE}]?([A-Za-z0-9+/_.=-]+)"""
 _SPANS = "coalesce(list_aggregate(list_transform(list_sort({0}), lambda x: ['assign', 'access', 'hex', 'generic'][x.kind + 1] || ':' || x.start || ':' || x.end), 'string_agg', ','), '')"
-_OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS repo, coalesce(text, '') AS t FROM documents),
+_OP4 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1) || coalesce(doc_id::VARCHAR, '') || ':' || sha256(coalesce(text, ''))) AS repo, coalesce(text, '') AS t FROM documents),
 a AS {_places(0, _ASSIGN, 1, 6)}, k AS {_places(1, 'AKIA[A-Z0-9]{16,}', 0, 20)}, x AS {_places(2, '[0-9a-f]{24,}', 0, 24)}, g AS {_places(3, '[A-Za-z0-9+/_-]{20,}', 0, 20)},
 j AS (SELECT d.r, doc_id, repo, coalesce(len(a.spans), 0) AS n_assign, coalesce(len(k.spans), 0) AS n_access, coalesce(len(x.spans), 0) AS n_hex, list_sort(coalesce(a.spans, []) || coalesce(k.spans, []) || coalesce(x.spans, [])) AS base, coalesce(g.spans, []) AS gen FROM d LEFT JOIN a USING (r) LEFT JOIN k USING (r) LEFT JOIN x USING (r) LEFT JOIN g USING (r)),
 m AS (SELECT *, list_filter(gen, lambda y: regexp_matches(y.value, '[A-Z]') AND regexp_matches(y.value, '[a-z]') AND regexp_matches(y.value, '[0-9]') AND len(list_filter(base, lambda z: z.start < y.end AND y.start < z.end)) = 0) AS more FROM j),
-c AS (SELECT r, repo, unnest(base || more) AS s FROM m), o AS (SELECT s.value AS value, count(DISTINCT string_split(repo, '/')[1]) AS owners FROM c GROUP BY ALL),
-f AS (SELECT r, list(s) FILTER (s.kind < 3 OR owners = 1) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example FROM c JOIN o ON o.value = s.value GROUP BY r)
-SELECT doc_id, n_assign, n_access, n_hex, sha256({_SPANS.format('base')}) AS base_sha256, {_SPANS.format('coalesce(spans, [])')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM m LEFT JOIN f USING (r)"""
+c AS (SELECT r, repo, unnest(base || more) AS s FROM m), o AS (SELECT s.value AS value, count(DISTINCT string_split(repo, '/')[1]) AS owners, count(DISTINCT repo) AS repositories FROM c GROUP BY ALL),
+f AS (SELECT r, list(s) FILTER (s.kind < 3 OR owners = 1) AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example, max(repositories) AS repositories, string_agg(CASE WHEN owners = 1 THEN 'live' WHEN owners >= 3 THEN 'example' ELSE 'shared' END, ',' ORDER BY s) FILTER (s.kind < 3 OR owners = 1) AS classes FROM c JOIN o ON o.value = s.value GROUP BY r)
+SELECT doc_id, n_assign, n_access, n_hex, sha256({_SPANS.format('base')}) AS base_sha256, {_SPANS.format('coalesce(spans, [])')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(classes, '') AS classes, coalesce(repositories, 0) AS repositories FROM m LEFT JOIN f USING (r)"""
 
 _FITS = sorted(urls.RULES, key=lambda r: -len(r.text))
 _CASE = "CASE " + " ".join(f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND path LIKE '{r.path}%' THEN '{{0[{i}]}}'" for i, r in enumerate(_FITS)) + " END"
