@@ -42,27 +42,39 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
 
 
 class Queries:
-    """A block of benchmark items: vocabulary, item texts as ids one after the other, and every suffix to search."""
+    """A block of benchmark items: vocabulary, item texts as ids one after the other, every distinct window, and the suffixes that begin with each.
+
+    A window's suffixes stand together in `suffix` from `begin[w]` on; a window of many items is searched once.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         code = self.vocabulary.setdefault
         self.names = [name for name, _ in items]
-        ids, self.at, self.item, self.need, self.room = [], [], [], [], []
+        ids, at, item, need, room = [], [], [], [], []
+        groups: dict[tuple[int, ...], list[int]] = {}
         for k, (_, words) in enumerate(items):
             base, n = len(ids), len(words)
             ids += [code(w, len(self.vocabulary) + 1) for w in words]
             w = min(window, n)
             for p in range(n - w + 1 if n else 0):
-                self.at.append(base + p)
-                self.item.append(k)
-                self.need.append(w)
-                self.room.append(n - p)
+                groups.setdefault(tuple(ids[base + p : base + p + w]), []).append(len(at))
+                at.append(base + p)
+                item.append(k)
+                need.append(w)
+                room.append(n - p)
         self.ids = np.array(ids, np.int64)
-        for name in ("at", "item", "need", "room"):
-            setattr(self, name, np.array(getattr(self, name), np.int64))
+        order = np.array([i for g in groups.values() for i in g], np.int64)
+        self.suffix_at, self.item, self.room = (np.array(x, np.int64)[order] for x in (at, item, room))
+        self.begin = np.cumsum([0, *map(len, groups.values())])
+        first = self.begin[:-1]
+        self.at = self.suffix_at[first]
+        self.need = np.array(need, np.int64)[order][first]
         self.least = int(self.need.min()) if len(self.need) else 0
 
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        return {self.names[k] for w in windows.tolist() for k in self.item[self.begin[w] : self.begin[w + 1]].tolist()}
+
 
 def _compare(text: np.ndarray, start: np.ndarray, q: Queries, which: np.ndarray, after: bool) -> np.ndarray:
     """Whether each text suffix sorts before the wanted one (or, with after, before the end of its matches), over `need` words."""
@@ -82,7 +94,7 @@ def _compare(text: np.ndarray, start: np.ndarray, q: Queries, which: np.ndarray,
 
 
 def _search(text: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """For every test suffix, the range of the suffix array whose suffixes start with its first `need` words. All binary searches run side by side."""
+    """For every window, the range of the suffix array whose suffixes start with it. All binary searches run side by side."""
     out = []
     which = np.arange(len(q.at))
     for after in (False, True):
@@ -98,7 +110,7 @@ def _search(text: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray
 
 
 def _occurrences(ids: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """(position in ids, test suffix) of all window matches in one shard. ids: 0 where a word is in no item, and between documents.
+    """(position in ids, window) of all window matches in one shard. ids: 0 where a word is in no item, and between documents.
 
     Only runs of benchmark words that are long enough for a window go into the suffix array; no other suffix can match.
     """
@@ -123,19 +135,37 @@ def _occurrences(ids: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     return place[order[inside]], which
 
 
-def _lengths(ids: np.ndarray, pos: np.ndarray, q: Queries, which: np.ndarray) -> np.ndarray:
+def _lengths(ids: np.ndarray, pos: np.ndarray, q: Queries, window: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Words that each match goes on for, verbatim, up to the item's end."""
-    n = q.need[which].copy()
-    live = np.flatnonzero(n < q.room[which])
+    n = q.need[window].copy()
+    live = np.flatnonzero(n < q.room[suffix])
     while len(live):
         to = pos[live] + n[live]
-        ok = (to < len(ids)) & (ids[np.minimum(to, len(ids) - 1)] == q.ids[q.at[which[live]] + n[live]])
+        ok = (to < len(ids)) & (ids[np.minimum(to, len(ids) - 1)] == q.ids[q.suffix_at[suffix[live]] + n[live]])
         live = live[ok]
         n[live] += 1
-        live = live[n[live] < q.room[which[live]]]
+        live = live[n[live] < q.room[suffix[live]]]
     return n
 
 
+#: Matches whose lengths are looked at together; a window of many items in many places is worked off in such parts.
+MATCHES = 1 << 20
+
+
+def _longest(ids: np.ndarray, pos: np.ndarray, window: np.ndarray, doc: np.ndarray, q: Queries) -> Iterator[tuple[int, int, int, int]]:
+    """(document, length, position, item) of long matches, the longest of each document among them."""
+    each = q.begin[window + 1] - q.begin[window]
+    ends = np.cumsum(each)
+    for lo in range(0, int(ends[-1]), MATCHES):
+        k = np.arange(lo, min(lo + MATCHES, int(ends[-1])))
+        i = np.searchsorted(ends, k, "right")
+        suffix = q.begin[window[i]] + k - (ends[i] - each[i])
+        long = _lengths(ids, pos[i], q, window[i], suffix)
+        best = np.lexsort((suffix, pos[i], -long, doc[i]))
+        for b in best[np.unique(doc[i][best], return_index=True)[1]].tolist():
+            yield int(doc[i[b]]), int(long[b]), int(pos[i[b]]), int(q.item[suffix[b]])
+
+
 _OUT = ["n_words", "n_hit", "n_items", "items_sha256", "items", "longest", "longest_at", "longest_item"]
 
 
@@ -152,19 +182,19 @@ def _shard(rows: list[list[bytes]], blocks) -> dict[str, list]:
         for w, at in zip(rows, start.tolist()):
             ids[at : at + len(w)] = [get(x, 0) for x in w]
         pos, which = _occurrences(ids, q)
-        if not len(pos):
-            continue
-        np.add.at(hit, pos, 1)
-        np.add.at(hit, pos + q.need[which], -1)
-        doc = np.searchsorted(start, pos, "right") - 1
-        for d, i in np.unique(np.stack([doc, q.item[which]]), axis=1).T.tolist():
-            items[d].add(q.names[i])
-        long = _lengths(ids, pos, q, which)
-        best = np.lexsort((which, pos, -long, doc))
-        for k in best[np.unique(doc[best], return_index=True)[1]].tolist():
-            d = int(doc[k])
-            if long[k] > longest[d][0]:
-                longest[d] = (int(long[k]), int(pos[k] - start[d]), q.names[q.item[which[k]]])
+        if len(pos):
+            np.add.at(hit, pos, 1)
+            np.add.at(hit, pos + q.need[which], -1)
+            doc = np.searchsorted(start, pos, "right") - 1
+            both = np.unique(np.stack([doc, which]), axis=1)
+            cut = np.flatnonzero(np.r_[True, both[0][1:] != both[0][:-1], True])
+            for i, j in zip(cut, cut[1:]):
+                items[both[0][i]] |= q.items_of(both[1][i:j])
+            for d, n_words, at, item in _longest(ids, pos, which, doc, q):
+                if n_words > longest[d][0]:
+                    longest[d] = (n_words, at - int(start[d]), q.names[item])
+        if len(blocks) > 1:  # a worker holds one block at a time
+            block.__dict__.pop("_value", None)
     inside = np.r_[0, np.cumsum(np.cumsum(hit[:-1]) > 0)]
     names = [sorted(x) for x in items]
     return {
@@ -221,7 +251,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     item ids count once. Items with a null id or text have no windows. Null and empty documents have no words and no hits. Repeated documents and null
     ids stay rows of their own; other columns are ignored. An empty benchmark gives rows without hits.
 
-    Every batch of documents is a shard with a suffix array of its own, in which all test suffixes are found by binary search;
+    The longest match is the longest run of words that a document shares with an item, from a window's length on; of equally long ones the first.
+
+    Every batch of documents is a shard with a suffix array of its own, in which the windows that begin the test suffixes are found by binary search;
     nothing is shuffled, and a very common passage only gives each of its documents its own hits.
     """
     kind = docs.schema[id_col].dataType.simpleString()

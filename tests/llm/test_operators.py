@@ -202,11 +202,39 @@ def test_plans_use_up_the_histogram(seed):
 def test_exact_complements_of_two_and_three():
     count = np.zeros(101, np.int64)
     count[[10, 20, 30]] = 1
-    assert sorted(packing._complement(50, count)) == [20, 30]
-    assert sorted(packing._complement(60, count)) == [10, 20, 30]
-    assert packing._complement(20, count) == [20] and packing._complement(90, count) is None and packing._complement(40, count) is not None
+    sums = packing.Sums(count)
+    assert sums.exact(50) == [30, 20] and sums.exact(60) == [30, 20, 10]
+    assert sums.exact(20) == [20] and sums.exact(90) is None and sums.exact(40) == [30, 10] and sums.exact(0) is None
     count[[10, 30]] = 0
-    assert packing._complement(40, count) is None
+    assert sums.exact(40) is None and sums.exact(60) is None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_sum_index_finds_what_all_combinations_have(seed):
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    count = np.zeros(61, np.int64)
+    for _ in range(25):
+        count[rng.randint(1, 60)] += 1
+    sums = packing.Sums(count)
+    while count.any():
+        have = [a for a in range(61) for _ in range(int(count[a]))]
+        exact = {sum(c) for k in (1, 2, 3) for c in combinations(have, k)}
+        for gap in rng.sample(range(1, 181), 60):
+            found = sums.exact(gap)
+            assert (found is not None) == (gap in exact)
+            assert found is None or sum(found) == gap and not Counter(found) - Counter(have)
+        count[rng.choice(have)] -= 1
+
+
+def test_special_tokens_are_as_the_tokenizer_has_them():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(word_bpe())
+    for t in ["a <|endoftext|> b", "a<|startoftext|>", "<|ENDOFTEXT|> x", "<| endoftext |>", "a < | b", "no tokens"]:
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(packing.coder(word_bpe()).encode([t])[0], "<u4").tolist() == want, t
 
 
 # 4
@@ -247,6 +275,14 @@ def test_owner_specific_values_are_live_and_copied_ones_examples(spark):
     assert got[0].n_example == 1 and got[0].n_live == 0
     assert got[9].n_live == got[10].n_live == 1
     assert got[11].spans == "generic:4:28" and got[12].spans == ""
+    assert (got[0].classes, got[0].repositories, got[9].classes, got[9].repositories, got[11].classes) == ("example", 5, "live", 2, "live")
+
+
+def test_rows_without_a_repository_are_owners_of_their_own(spark):
+    rows = [(i, "password=copied123", None) for i in range(6)] + [(9, "password=single999", None), (9, "password=single999", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(table).collect()}
+    assert (got[0].n_live, got[0].n_example, got[0].repositories) == (0, 1, 6) and (got[9].n_live, got[9].classes) == (1, "live")
 
 
 # 5
@@ -330,6 +366,21 @@ def test_suffix_arrays_and_longest_matches(spark):
     assert (r.longest, r.longest_at, r.longest_item, r.n_hit) == (10, 2, "1", 10)
 
 
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_longest_matches_with_shared_windows_match_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(decontam, "MATCHES", part)
+    rng = random.Random(13)
+    stock = [rng.choice("abc") for _ in range(14)]
+    items = [(i, [*stock[: rng.randint(8, 14)], *(rng.choice("abc") for _ in range(rng.randint(0, 6)))]) for i in range(9)]
+    rows = [(i, [*(rng.choice("abc") for _ in range(rng.randint(0, 5))), *rng.choice(items)[1], *(rng.choice("abc") for _ in range(5))]) for i in range(30)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.scan(docs(spark, [(i, " ".join(w)) for i, w in rows]), bench).collect()}
+    for i, w in rows:
+        runs = {(p, k): n for p in range(len(w)) for k, (_, v) in enumerate(items) for q in range(len(v) - 7) if (n := next((n for n in range(min(len(w) - p, len(v) - q), 7, -1) if w[p : p + n] == v[q : q + n]), 0))}
+        assert got[i].longest == max(runs.values(), default=0)
+        assert got[i].longest == 0 or got[i].longest_at == min(p for (p, _), n in runs.items() if n == got[i].longest)
+
+
 # 7
 
 PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
