@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import simhash
 from kinfold.llm.names import fresh_names
-from kinfold.llm.simhash import SMALL_GROUP
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import discard, materialise
 
@@ -104,9 +103,9 @@ def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
             continue
         held = held or [[] for _ in batch.columns]
         for h, c in zip(held, batch.columns):
-            h.append(c.to_numpy())
+            h.append(c.to_numpy(zero_copy_only=False))
         count += len(batch)
-        if count >= 1 << 17 and held[0][-1][-1] != held[0][0][0]:
+        if count >= 1 << 16 and held[0][-1][-1] != held[0][0][0]:
             cols = [np.concatenate(h) for h in held]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             yield work(*(c[:cut] for c in cols))
@@ -124,40 +123,101 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _runs(batches, work)
 
 
-def group_pairs(key: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, star: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets under equal keys that can be similar and lie in different parts; with star only those of a key's first set. key is sorted."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    i_, j_ = [], []
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (part[i] != part[j]) & _fits(at, i, j)
-        i_.append(i[ok])
-        j_.append(j[ok])
-
-    if star:
-        add(np.repeat(start, size), np.arange(len(key)))
-    else:
-        small = np.flatnonzero(np.repeat(size, size) <= SMALL_GROUP)
-        for d in range(1, int(size[size <= SMALL_GROUP].max(initial=1))):
-            i = small[small + d < len(key)]
-            i = i[key[i] == key[i + d]]
-            add(i, i + d)
-        for s, m in zip(start[size > SMALL_GROUP], size[size > SMALL_GROUP]):
-            for k in range(s, s + m - 1):
-                j = np.arange(k + 1, s + m)
-                add(np.full(len(j), k), j)
-    i, j = np.concatenate([np.zeros(0, np.int64), *i_]), np.concatenate([np.zeros(0, np.int64), *j_])
-    return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-
-
-def _pairs(star: bool):
+def star_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets under equal keys the pairs with a key's first set that can be similar. gram is sorted."""
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    i = np.repeat(start, np.diff(np.r_[start, len(gram)]))
+    j = np.flatnonzero(_fits(at, i, np.arange(len(gram))) & (i != np.arange(len(gram))))
+    return sid[i[j]], sid[j]
+
+
+def _may(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Which of the sets j can be similar to the set i, by size, place and bitmap."""
+    n, own = at >> 32, maps[i]
+    fewer = np.bitwise_count(own & ~maps[j]).sum(axis=1, dtype=np.int64)
+    more = np.bitwise_count(maps[j] & ~own).sum(axis=1, dtype=np.int64)
+    return _fits(at, np.full(len(j), i), j) & alike(np.minimum(n[i] - fewer, n[j] - more), n[i], n[j])
+
+
+def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> list[np.ndarray]:
+    """A spanning forest, for each key, of the pairs that can be similar or are of one part: (gram, at, sid, part, sid of the set it hangs on, sid of
+    the tree's root), for the trees with more than one part. gram is sorted."""
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    row, on, root = [], [], []
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(gram)]):
+        left = np.arange(s, e)
+        while len(left):
+            tree, hang, left = [left[:1]], [left[:1]], left[1:]
+            queue = tree[0].tolist()
+            while queue and len(left):
+                i = queue.pop()
+                near = (part[left] == part[i]) | _may(at, maps, i, left)
+                if near.any():
+                    found = left[near]
+                    tree.append(found)
+                    hang.append(np.full(len(found), i))
+                    queue.extend(found.tolist())
+                    left = left[~near]
+            own = np.concatenate(tree)
+            if (part[own] != part[own[0]]).any():
+                row.append(own)
+                on.append(np.concatenate(hang))
+                root.append(np.full(len(own), own[0]))
+    none = np.zeros(0, np.int64)
+    k, h, r = (np.concatenate([none, *x]) for x in (row, on, root))
+    return [gram[k], at[k], sid[k], part[k], sid[h], sid[r]]
+
+
+def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets under equal keys in different parts all pairs that can be similar. gram is sorted."""
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    a, b = [], []
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(gram)]):
+        for i in range(s, e - 1):
+            j = np.arange(i + 1, e)
+            j = j[part[j] != part[i]]
+            j = j[_may(at, maps, i, j)]
+            a.append(np.full(len(j), sid[i]))
+            b.append(sid[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _runs(batches, lambda *cols: _batch(*star_pairs(*cols)))
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key has sets of more than one part."""
+
     def work(*cols: np.ndarray) -> pa.RecordBatch:
-        a, b = group_pairs(*cols, star)
-        ends = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+        gram, part = cols[0], cols[3]
+        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        many = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
+        keep = np.repeat(many, np.diff(np.r_[start, len(gram)]))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["gram", "at", "sid", "part"])
+
+    yield from _runs(batches, work)
+
+
+def _bits(maps: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(maps.tolist()), np.uint64).reshape(len(maps), -1)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _runs(batches, lambda *cols: pa.RecordBatch.from_arrays([pa.array(c) for c in part_forest(*cols[:4], _bits(cols[4]))], _TREE))
 
-    return lambda batches: _runs(batches, work)
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], _bits(cols[4]))))
+
+
+_TREE = ["gram", "at", "sid", "part", "hung", "root"]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,22 +285,18 @@ def _needed_sets(sent):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets have a Jaccard similarity of 0.8 or more. Bitmaps (sid, n, map) bound the overlap from above,
-    and then larger ones of the sets that are left, so that few pairs carry whole sets."""
-
-    def possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-        mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-        return materialise(mapped.mapInArrow(_possible, "a long, b long"))
-
-    some = possible(pairs, maps)
-    need = some.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets have a Jaccard similarity of 0.8 or more. Bitmaps of the sets first bound the overlap from above, so
+    that few pairs carry whole sets. pairs is a table in shared scratch and is deleted."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sent = pairs.sparkSession.sparkContext.broadcast(_filter(need))
     own = materialise(texts.select("text").mapInArrow(lambda it: _needed_sets(sent)(it), "sid long, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
-    near = possible(some, own.mapInArrow(_mapped, "sid long, n long, map binary"))
+    maps = own.mapInArrow(_mapped, "sid long, n long, map binary")
+    mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    near = materialise(mapped.mapInArrow(_possible, "a long, b long"))
     both = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     out = materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
-    for done in (some, near, own):
+    for done in (near, own, pairs):
         discard(done)
     return out
 
@@ -268,27 +324,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that of the smallest id (then of the smallest hash of the text).
 
     SimHash finds most links, but similarity 0.8 is ten differing bits on average, which no index over segments can look up; so pairs
-    that share a shingle of both prefixes, as all such pairs do, come second. First those with a shingle's first set are verified along with
-    those of SimHash; pairs within a component found so need no look, so that a large group of near copies makes no pair list.
+    that share a shingle of both prefixes, as all such pairs do, come second: those with a shingle's first set, along with those of SimHash,
+    then for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
+    before need no look, so that a large group of near copies makes no pair list.
     Texts without words are alike. Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose
     ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     keyed = materialise(texts.mapInArrow(_keyed(common_grams(texts)), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
-    maps = keyed.select("sid", "n", "map").dropDuplicates(["sid"])
+    maps = keyed.select("sid", "map").dropDuplicates(["sid"])
     each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
     shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_repeated, "gram long, at long, sid long"))
 
-    def candidates(rows: DataFrame, star: bool) -> DataFrame:
-        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_pairs(star), "a long, b long").distinct()
+    def by_gram(rows: DataFrame) -> DataFrame:
+        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid")
+
+    links = verified(materialise(by_gram(shared).mapInArrow(_stars, "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
+    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """The rows, with bitmaps, whose key has more than one component of the links so far."""
+        own = rows.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
+        mixed = materialise(by_gram(own).mapInArrow(_mixed, "gram long, at long, sid long, part long"))
+        return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
 
-    stars = candidates(shared.withColumn("part", F.col("sid")), True)
-    first = verified(materialise(stars.unionByName(simhash_pairs(keyed)).distinct()), texts, maps)
-    roots = connected_components(first).select(F.col("node").alias("sid"), "root")
-    parts = shared.join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
-    rest = verified(materialise(candidates(parts, False)), texts, maps)
-    roots = connected_components(first.unionByName(rest)).select(F.col("node").alias("sid"), "root")
+    trees = materialise(parted(shared).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
+    links = links.unionByName(verified(materialise(trees.where("sid <> hung").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()), texts))
+    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+    rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
+    links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across, "a long, b long").distinct()), texts))
+    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
     i, k, own = fresh_names(docs.columns, "kept_id", "kept_key", "key")

@@ -52,10 +52,13 @@ def test_near_copies_from_similarity_080_are_found(spark):
 
 def test_groups_have_all_pairs_and_odd_rows_stay(spark):
     key = np.repeat(np.arange(3), [2, 40, 1])
-    sid, at = np.arange(43), np.full(43, 10 << 32)
-    assert len(shingles.group_pairs(key, at, sid, sid, False)[0]) == 1 + 40 * 39 // 2
-    assert len(shingles.group_pairs(key, at, sid, sid, True)[0]) == 1 + 39
-    assert len(shingles.group_pairs(key, at, sid, np.zeros(43), False)[0]) == 0
+    sid, at, maps = np.arange(43), np.full(43, 10 << 32), np.ones((43, 32), np.uint64)
+    assert len(shingles.star_pairs(key, at, sid)[0]) == 1 + 39
+    assert len(shingles.part_pairs(key, at, sid, sid, maps)[0]) == 1 + 40 * 39 // 2
+    assert len(shingles.part_pairs(key, at, sid, np.zeros(43), maps)[0]) == 0
+    tree = shingles.part_forest(key, at, sid, sid, maps)
+    assert len(tree[0]) == 42 and np.sum(tree[2] != tree[4]) == 1 + 39 and set(tree[5]) == {0, 2}
+    assert len(shingles.part_forest(key, at, sid, np.zeros(43), maps)[0]) == 0
     kept = shingles.keep_one(docs(spark, ODD)).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == sorted([(1, None), (4, "one"), (4, "two"), (5, ODD[8][1]), (6, ODD[9][1])], key=lambda x: x[0])
     assert shingles.keep_one(docs(spark, [])).count() == 0
