@@ -8,35 +8,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
-from kinfold.llm.wordhash import Tokens, chunks, code_points, tokens
+from kinfold.llm.wordhash import Tokens, chunks, code_points, mix, tokens
 
 BITS = 20
-#: Marginals below this are background and add nothing to a document's evidence.
-FLOOR = 0.2
 #: Labelled documents of each class that training reads at most.
 PER_CLASS = 1500
-#: A chain is one sentence; a longer sentence is tagged in chains of so many words.
-CHAIN = 128
-#: A word is tagged in training if this share of the texts with it, at least, is toxic, and if it follows so many different words
-#: there that chance would not leave one such word in CHANCE vocabularies.
+#: Chains longer than this are worked off block by block, with the same result.
+LONG = 256
+#: Bytes of the word beginnings that are features of a word.
+STEMS = (4, 6)
+#: A word or a beginning is tagged in training if this share of the texts with it, at least, is toxic, and if it follows so many different
+#: words there that chance would not leave one such word in CHANCE vocabularies.
 LEAST_SHARE, CHANCE = 0.97, 10.0
 
 
 @dataclass
 class Model:
-    word: np.ndarray  # halves of the toxic state's score for each hashed word, which is the sum at two buckets
+    weight: np.ndarray  # the toxic state's score for each hashed feature
     bias: float
+    capital: float  # of words of capitals
     move: np.ndarray  # 2 x 2, from state to state
     level: tuple[float, float]  # document score: logistic of level[0] + level[1] * log(1 + 20 * evidence)
 
+    def score(self, at: list[np.ndarray], capital: np.ndarray) -> np.ndarray:
+        out = np.full(len(capital), self.bias) + self.capital * capital
+        for i in at:
+            out += self.weight[i]
+        return out
 
-def _buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places for each word, so that a word that shares one of them with a toxic word gets half a score only."""
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+@dataclass
+class Words:
+    """Words of some documents in text order."""
+
+    doc: np.ndarray
+    sentence: np.ndarray
+    word: np.ndarray
+    stems: list[np.ndarray]
+    capital: np.ndarray
+
+    def features(self) -> list[np.ndarray]:
+        """Buckets of each word's features: the word at two places, so that one which shares a single place with a toxic word gets half its score;
+        its beginnings; the words before and after it in the document."""
+        h, top = self.word, np.uint64(64 - BITS)
+        same = self.doc[1:] == self.doc[:-1] if len(h) else np.zeros(0, bool)
+        before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+        before[1:] = np.where(same, h[:-1], 0)
+        after[:-1] = np.where(same, h[1:], 0)
+        with np.errstate(over="ignore"):
+            wide = [h, *self.stems, mix(before + np.uint64(1)), mix(after + np.uint64(2))]
+        return [(h & np.uint64((1 << BITS) - 1)).astype(np.int32), *((x >> top).astype(np.int32) for x in wide)]
+
+
+#: Shares of the log odds that a feature starts training with, in the order of features().
+_START = (0.25, 0.25, *(0.35 for _ in STEMS), 0.0, 0.0)
+
+
+def words_of(t: Tokens) -> Words:
+    return Words(t.doc, t.sentence, t.hash, [t.prefix(k) for k in STEMS], t.capital)
 
 
 def chains(doc: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,17 +80,58 @@ def chains(doc: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.r_[True, (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])]
     begin = np.flatnonzero(new)
-    place = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
-    first = np.flatnonzero(place % CHAIN == 0)
-    return first, np.diff(np.r_[first, n])
+    return begin, np.diff(np.r_[begin, n])
+
+
+def long_chain(score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """forward_backward() of one chain. Its blocks of LONG words advance side by side, from either state that may come in and to either that may go
+    out; then the blocks are joined one after the other."""
+    none, n = -1e30, len(score)
+    blocks = -(-n // LONG)
+    s = np.r_[score, np.zeros(blocks * LONG - n)].reshape(blocks, LONG)
+    real = np.arange(blocks * LONG).reshape(blocks, LONG) < n
+    add = np.stack([np.zeros_like(s), s], axis=-1)  # score by state
+    ahead, back = np.empty((blocks, LONG, 2, 2)), np.empty((blocks, LONG, 2, 2))
+    ahead[:, 0] = move[None] + add[:, 0, None, :]
+    ahead[0, 0] = [[0.0, score[0]], [none, none]]
+    for t in range(1, LONG):
+        step = np.logaddexp(ahead[:, t - 1, :, :1] + move[0], ahead[:, t - 1, :, 1:] + move[1]) + add[:, t, None, :]
+        ahead[:, t] = np.where(real[:, t, None, None], step, ahead[:, t - 1])
+    back[:, -1] = [[0.0, none], [none, 0.0]]
+    for t in range(LONG - 2, -1, -1):
+        after = add[:, t + 1, :, None] + back[:, t + 1]  # by the next state and the last one
+        step = np.logaddexp(move[:, 0, None] + after[:, :1], move[:, 1, None] + after[:, 1:])
+        back[:, t] = np.where(real[:, t + 1, None, None], step, back[:, t + 1])
+    come, go = np.zeros((blocks + 1, 2)), np.zeros((blocks, 2))
+    come[0] = [0.0, none]
+    for k in range(blocks):
+        come[k + 1] = np.logaddexp(come[k, 0] + ahead[k, -1, 0], come[k, 1] + ahead[k, -1, 1])
+    for k in range(blocks - 2, -1, -1):
+        later = add[k + 1, 0] + np.logaddexp(back[k + 1, 0, :, 0] + go[k + 1, 0], back[k + 1, 0, :, 1] + go[k + 1, 1])
+        go[k] = np.logaddexp(move[:, 0] + later[0], move[:, 1] + later[1])
+    z = float(np.logaddexp(*come[-1]))
+    a = np.logaddexp(come[:-1, None, 0, None] + ahead[:, :, 0], come[:-1, None, 1, None] + ahead[:, :, 1]).reshape(-1, 2)[:n]
+    b = np.logaddexp(back[..., 0] + go[:, None, 0, None], back[..., 1] + go[:, None, 1, None]).reshape(-1, 2)[:n]
+    moves = np.exp(a[:-1, :, None] + move + (b[1:] + add.reshape(-1, 2)[1:n])[:, None, :] - z).sum(axis=0)
+    return np.exp(a[:, 1] + b[:, 1] - z), moves, z
 
 
 def forward_backward(score: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of the toxic state, expected moves (2 x 2) and the sum of log partition functions.
 
-    score: of the toxic state at each word; the clean state has 0. All chains advance together, the longest first, so
-    that step t touches the chains with more than t words.
+    score: of the toxic state at each word; the clean state has 0. Chains up to LONG advance together, the longest first, so that step t
+    touches the chains with more than t words; a longer one advances in all of its blocks at once.
     """
+    if (size > LONG).any():
+        few = size <= LONG
+        marginal, moves, total = np.zeros(len(score)), np.zeros((2, 2)), 0.0
+        rest = np.concatenate([np.zeros(0, np.int64), *(np.arange(i, i + n) for i, n in zip(first[few], size[few]))])
+        if len(rest):
+            marginal[rest], moves, total = forward_backward(score[rest], np.cumsum(size[few]) - size[few], size[few], move)
+        for i, n in zip(first[~few].tolist(), size[~few].tolist()):
+            marginal[i : i + n], own, z = long_chain(score[i : i + n], move)
+            moves, total = moves + own, total + z
+        return marginal, moves, total
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     live = [int(x) for x in np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")]
@@ -99,64 +174,80 @@ def by_blocks(score: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.n
     return marginal, moves
 
 
-def tag_words(rows: list[tuple[int, np.ndarray]]) -> set[int]:
-    """Token labels from document labels: hashes of words that stand almost only in toxic texts and there after many different
-    words. Copies and near copies repeat a word in the same place, so they add no support to it."""
-    seen, texts = set(), []
-    for y, h in rows:
-        if len(h) and (key := (y, hashlib.sha256(h.tobytes()).digest())) not in seen:
-            seen.add(key)
-            texts.append((y, h))
-    if not texts:
-        return set()
-    size = np.array([len(h) for _, h in texts])
-    words, word = np.unique(np.concatenate([h for _, h in texts]), return_inverse=True)
-    doc, toxic, n = np.repeat(np.arange(len(texts)), size), np.array([y == 1 for y, _ in texts]), len(words)
-    pairs = np.unique(doc * n + word)
+def tagged(units: np.ndarray, word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
+    """Of the units (words, or beginnings of words) those that stand almost only in toxic texts and there after many different words."""
+    names, unit = np.unique(units, return_inverse=True)
+    before = np.unique(word, return_inverse=True)[1]
+    n, many = len(names), int(before.max()) + 1
+    pairs = np.unique(doc.astype(np.int64) * n + unit)
     every = np.bincount(pairs % n, minlength=n)
     bad = np.bincount((pairs % n)[toxic[pairs // n]], minlength=n)
     follows = np.flatnonzero((doc[1:] == doc[:-1]) & toxic[doc[1:]]) + 1
-    support = np.bincount(np.unique(word[follows] * n + word[follows - 1]) // n, minlength=n)
-    base = min(0.9, max(1e-3, size[toxic].sum() / size.sum()))
-    least = np.log(CHANCE * n) / -np.log(base)
-    return set(words[(bad > 0) & (bad >= LEAST_SHARE * every) & (support >= least)].tolist())
+    support = np.bincount(np.unique(unit[follows] * many + before[follows - 1]) // many, minlength=n)
+    return names[(bad > 0) & (bad >= LEAST_SHARE * every) & (support >= np.log(CHANCE * n) / -np.log(base))]
+
 
+def gold_tags(w: Words, toxic: np.ndarray) -> np.ndarray:
+    """Token labels from document labels: the words of toxic texts that are tagged themselves or begin like many that are.
 
-def train_crf(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
-    """Fits the field to tagged words by full-gradient Adagrad from smoothed log odds, then the document level. rows: label, word hashes, sentence numbers."""
+    Each text counts once, however many copies there are; near copies repeat a word in the same place and so add no support to it. A beginning tells of
+    words that each are too rare to tell by themselves.
+    """
+    cut = np.searchsorted(w.doc, np.arange(len(toxic) + 1))
+    seen: set = set()
+    once = np.zeros(len(toxic), bool)
+    for d, (i, j) in enumerate(zip(cut, cut[1:])):
+        key = (bool(toxic[d]), hashlib.sha256(w.word[i:j].tobytes()).digest())
+        once[d] = j > i and key not in seen
+        seen.add(key)
+    k = np.flatnonzero(once[w.doc])
+    if not len(k) or not toxic[w.doc[k]].any():
+        return np.zeros(len(w.word), bool)
+    base = min(0.9, max(1e-3, float(toxic[w.doc[k]].mean())))
+    out = np.zeros(len(w.word), bool)
+    for unit in (w.word, *w.stems):
+        out |= np.isin(unit, tagged(unit[k], w.word[k], w.doc[k], toxic, base))
+    return out & toxic[w.doc]
+
+
+def train_crf(w: Words, toxic: np.ndarray, steps: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
+    """Fits the field to tagged words by full-gradient Adagrad from smoothed log odds, then the document level. toxic: of each document."""
     width = 1 << BITS
-    if not rows:
-        return Model(np.zeros(width, np.float32), -8.0, np.zeros((2, 2)), (-4.0, 1.0))
-    chosen = np.array(sorted(tag_words([(y, h) for y, h, _ in rows])), np.uint64)
-    doc = np.repeat(np.arange(len(rows)), [len(h) for _, h, _ in rows])
-    h = np.concatenate([h for _, h, _ in rows]).astype(np.uint64)
-    toxic = np.array([y for y, _, _ in rows])
-    gold = np.isin(h, chosen) & (toxic[doc] == 1)
-    first, size = chains(doc, np.concatenate([s for _, _, s in rows]))
-    b, c = _buckets(h)
-    r = min(0.5, (gold.sum() + 1e-3) / (len(h) + 1))
-    both, twice = np.concatenate([b, c]), np.concatenate([gold, gold])
-    n, g = np.bincount(both, minlength=width), np.bincount(both, weights=twice, minlength=width)
-    bias, move = float(np.log(r / (1 - r))), np.zeros((2, 2))
-    word = 0.5 * (np.log((g + r) / (n - g + 1 - r)) - bias)
-    inner = np.ones(len(h), bool)
+    if not len(toxic) or not len(w.word):
+        return Model(np.zeros(width, np.float32), -8.0, 0.0, np.zeros((2, 2)), (-4.0, 1.0))
+    gold = gold_tags(w, toxic)
+    first, size = chains(w.doc, w.sentence)
+    at = w.features()
+    r = min(0.5, (gold.sum() + 1e-3) / (len(gold) + 1))
+    start = float(np.log(r / (1 - r)))
+    weight = np.zeros(width)
+    for i, share in zip(at, _START):
+        if share:
+            n, g = np.bincount(i, minlength=width), np.bincount(i[gold], minlength=width)
+            weight += share * (np.log((g + r) / (n - g + 1 - r)) - start)
+    model = Model(weight, start, 0.0, np.zeros((2, 2)), (0.0, 1.0))
+    inner = np.ones(len(gold), bool)
     inner[first] = False
     k = np.flatnonzero(inner)
     seen = np.array([[np.sum((gold[k - 1] == x) & (gold[k] == y)) for y in (0, 1)] for x in (0, 1)], float)
-    sums = [np.full(width, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
-    weight = 1.0 / max(1, gold.sum())
+    sums = [np.full(width, 1e-8), 1e-8, 1e-8, np.full((2, 2), 1e-8)]
+    each = 1.0 / max(1, gold.sum())
     for _ in range(steps):
-        marginal, moves = by_blocks(word[b] + word[c] + bias, first, size, move)
-        off = (marginal - gold) * weight
-        grads = [np.bincount(both, weights=np.concatenate([off, off]), minlength=width) + decay * word * weight, off.sum(), (moves - seen) * weight]
+        marginal, moves = by_blocks(model.score(at, w.capital), first, size, model.move)
+        off = (marginal - gold) * each
+        grad = decay * each * model.weight
+        for i in at:
+            grad += np.bincount(i, weights=off, minlength=width)
+        grads = [grad, off.sum(), off[w.capital].sum(), (moves - seen) * each]
         for j, g in enumerate(grads):
             sums[j] = sums[j] + g * g
-        word = word - rate * grads[0] / np.sqrt(sums[0])
-        bias -= rate * grads[1] / np.sqrt(sums[1])
-        move = move - rate * grads[2] / np.sqrt(sums[2])
-    marginal, _ = by_blocks(word[b] + word[c] + bias, first, size, move)
-    x = _evidence(doc, marginal, len(rows))
-    share = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
+        model.weight = model.weight - rate * grads[0] / np.sqrt(sums[0])
+        model.bias -= rate * grads[1] / np.sqrt(sums[1])
+        model.capital -= rate * grads[2] / np.sqrt(sums[2])
+        model.move = model.move - rate * grads[3] / np.sqrt(sums[3])
+    marginal, _ = by_blocks(model.score(at, w.capital), first, size, model.move)
+    x = _evidence(w.doc, marginal, len(toxic))
+    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
     k0, k1 = -1.0, 1.0
     for _ in range(400):  # Newton steps on two numbers, damped
         p = 1 / (1 + np.exp(-np.clip(k0 + k1 * x, -35, 35)))
@@ -165,37 +256,49 @@ def train_crf(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 20, r
         hess = np.array([[q.sum() + 1e-6, (q * x).sum()], [(q * x).sum(), (q * x * x).sum() + 1e-3]])
         d = np.linalg.solve(hess, g)
         k0, k1 = k0 - 0.5 * d[0], k1 - 0.5 * d[1]
-    return Model(word.astype(np.float32), float(bias), move, (float(k0), float(k1)))
+    model.weight, model.level = model.weight.astype(np.float32), (float(k0), float(k1))
+    return model
 
 
 def _evidence(doc: np.ndarray, marginal: np.ndarray, rows: int) -> np.ndarray:
-    """Of each document: expected toxic words among those with a marginal of FLOOR or more, on a log scale."""
-    return np.log1p(20 * np.bincount(doc, weights=np.where(marginal >= FLOOR, marginal, 0.0), minlength=rows))
+    """Of each document the sum of its words' squared marginals, on a log scale: the background of a long text fades, no word is left out."""
+    return np.log1p(20 * np.bincount(doc, weights=marginal * marginal, minlength=rows))
+
+
+_ROW = "word array<bigint>, sentence array<int>, capital array<boolean>, " + ", ".join(f"stem{k} array<bigint>" for k in STEMS)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, text in chunks(b, 2):
             t = tokens(text, words_only=True)
-            cut = np.searchsorted(t.doc, np.arange(t.rows + 1))
-            word = [t.hash[i:j].view(np.int64) for i, j in zip(cut, cut[1:])]
-            sentence = [t.sentence[i:j] for i, j in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(word, pa.list_(pa.int64())), pa.array(sentence, pa.list_(pa.int32()))], ["id", "y", "word", "sentence"])
+            w = words_of(t)
+            cut = pa.array(np.searchsorted(t.doc, np.arange(t.rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (w.word.view(np.int64), w.sentence, w.capital, *(x.view(np.int64) for x in w.stems))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "y", "word", "sentence", "capital", *(f"stem{k}" for k in STEMS)])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of at most per_class labelled documents of each class; of rows with one id all texts count, as one label's."""
     rows = labelled.sample(docs, labels, label, train_rows, per_class, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(_rows, f"id {kind}, y int, word array<bigint>, sentence array<int>").toArrow()
-    table = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["word"], got["sentence"]), key=lambda r: (str(r[0]), len(r[2])))
-    return train_crf([(int(y), w.values.to_numpy().view(np.uint64), s.values.to_numpy()) for _, y, w, s in table])
+    got = rows.mapInArrow(_rows, f"id {kind}, y int, {_ROW}").toArrow()
+    size = pa.compute.list_value_length(got["word"]).to_pylist()
+    order = sorted(range(len(got)), key=lambda i: (str(got["id"][i]), size[i]))
+    got = got.take(pa.array(order, pa.int64()))
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(order)), [size[i] for i in order])
+    words = Words(doc, flat("sentence"), flat("word").view(np.uint64), [flat(f"stem{k}").view(np.uint64) for k in STEMS], flat("capital").astype(bool))
+    toxic = got["y"].to_numpy() == 1
+    del got
+    return train_crf(words, toxic)
 
 
 def tag(t: Tokens, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(score of each document, marginal of each word)."""
     first, size = chains(t.doc, t.sentence)
-    b, c = _buckets(t.hash)
-    marginal = forward_backward(m.word[b] + m.word[c] + m.bias, first, size, m.move)[0] if len(t.hash) else np.zeros(0)
+    w = words_of(t)
+    marginal = forward_backward(m.score(w.features(), w.capital), first, size, m.move)[0] if len(t.hash) else np.zeros(0)
     x = _evidence(t.doc, marginal, t.rows)
     return 1 / (1 + np.exp(-np.clip(m.level[0] + m.level[1] * x, -35, 35))), marginal
 

@@ -55,6 +55,13 @@ class Tokens:
     end: np.ndarray
     data: np.ndarray
     offset: np.ndarray  # where each row begins in the chunk, one more than rows
+    sums: np.ndarray  # running sums from which hashes of parts of words come
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hashes of each token's first bytes, so many at most."""
+        with np.errstate(over="ignore"):
+            part = self.sums[np.minimum(self.end, self.start + size)] - self.sums[self.start]
+            return mix(part * _powers(len(self.sums))[1][self.start] + np.uint64(size))
 
 
 def tokens(text: pa.Array, words_only: bool = False) -> Tokens:
@@ -83,7 +90,7 @@ def tokens(text: pa.Array, words_only: bool = False) -> Tokens:
     capital = ((upper[end] - upper[start]) == end - start) & ((strict[end] - strict[start]) >= 2)
     breaks = np.r_[0, np.cumsum(_BREAK[data], dtype=np.int32)]
     doc = np.searchsorted(offset, start, "right") - 1
-    return Tokens(n, h, doc, kind[start] == _SYMBOL, capital, breaks[start], start, end, data, offset)
+    return Tokens(n, h, doc, kind[start] == _SYMBOL, capital, breaks[start], start, end, data, offset, total)
 
 
 def code_points(t: Tokens, at: np.ndarray, doc: np.ndarray) -> np.ndarray:

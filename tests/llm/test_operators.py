@@ -509,6 +509,61 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(again, want) and np.allclose(both, pairs)
 
 
+@pytest.mark.parametrize("block", [2, 3, 7, 50])
+def test_long_chains_are_tagged_whole(monkeypatch, block):
+    rng = np.random.default_rng(3)
+    size = np.array([1, 9, 40, 3, 101])
+    score, move = 3 * rng.normal(size=size.sum()), rng.normal(size=(2, 2))
+    first = np.cumsum(size) - size
+    want = toxicity.forward_backward(score, first, size, move)
+    monkeypatch.setattr(toxicity, "LONG", block)
+    got = toxicity.forward_backward(score, first, size, move)
+    assert all(np.allclose(a, b) for a, b in zip(got, want))
+
+
+def brute_toxicity(text, m):
+    """Score of one document by sums over matrices, word by word, for hashes as the tokenizer has them."""
+    import pyarrow as pa
+
+    t = toxicity.tokens(pa.array([text], pa.large_string()), words_only=True)
+    words = re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text)
+    assert len(words) == len(t.hash)
+    w = toxicity.words_of(t)
+    evidence, at = 0.0, 0
+    for sentence in [s for s in re.split("[\n!.?]", text) if re.search("[0-9A-Za-z\x80-\U0010ffff]", s)]:
+        n = len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", sentence))
+        score = [m.bias + m.capital * w.capital[i] + sum(float(m.weight[f[i]]) for f in w.features()) for i in range(at, at + n)]
+        step = lambda i: np.exp(m.move) * np.array([1.0, np.exp(score[i])])[None, :]
+        ahead = [np.array([1.0, np.exp(score[0])])]
+        for i in range(1, n):
+            ahead.append(ahead[-1] @ step(i))
+        back = [np.ones(2)]
+        for i in range(n - 1, 0, -1):
+            back.insert(0, step(i) @ back[0])
+        evidence += sum((a[1] * b[1] / ahead[-1].sum()) ** 2 for a, b in zip(ahead, back))
+        at += n
+    return 1 / (1 + np.exp(-(m.level[0] + m.level[1] * np.log1p(20 * evidence))))
+
+
+def test_toxicity_generalises_to_unseen_spellings_and_matches_brute_force(spark):
+    rng = random.Random(12)
+    ends = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+
+    def make(y, r):
+        words = [r.choice(["sun", "moon", "star", "sky", "cloud", "rain"]) + r.choice(ends) for _ in range(r.randint(20, 50))]
+        for _ in range(5 * y):
+            words.insert(r.randint(0, len(words)), "grubbo" + r.choice(ends[:40]))
+        return " ".join(words) + "."
+
+    table, labels = labelled_rows(spark, rng, make, 300)
+    model = toxicity.train(table, labels, lambda c: F.lit(True), label="y")
+    fresh = [(1, "the sunny moon grubbo" + ends[50] + " and grubbo" + ends[55] + " rain"), (2, "the sunny moon and rain"), (3, "A b.\nsun GRUBBOX sky! " * 5), (4, "")]
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, fresh), model).collect()}
+    assert got[1].score >= 0.5 and got[2].score < 0.5 and [(s.start, s.end) for s in got[1].spans] == [(15, 23), (28, 36)]
+    for i, text in fresh[:3]:
+        assert abs(got[i].score - brute_toxicity(text, model)) < 1e-5
+
+
 def test_samples_are_bounded_and_deterministic(spark):
     table = docs(spark, [(i, "t") for i in range(100)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(3, 0)], "doc_id long, y int")
