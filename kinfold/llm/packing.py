@@ -126,8 +126,8 @@ class Sums:
     def __init__(self, count: np.ndarray):
         self.count = count
         self.there = np.flatnonzero(count)
-        self.pairs: dict[int, tuple[list[int], int]] = {}
-        self.firsts: dict[int, tuple[list[int], int]] = {}
+        self.pairs: dict[int, tuple[np.ndarray, int]] = {}
+        self.firsts: dict[int, tuple[np.ndarray, int]] = {}
 
     def _has(self, *lengths: int) -> bool:
         return all(self.count[a] >= lengths.count(a) for a in lengths)
@@ -136,20 +136,20 @@ class Sums:
         """The pair with the longest length whose sum is the total; with `but` one of that length is spoken for."""
         if total not in self.pairs:
             own = self.there[(2 * self.there >= total) & (self.there < total)]
-            self.pairs[total] = (own[self.count[total - own] > 0][::-1].tolist(), 0)
+            self.pairs[total] = (own[self.count[total - own] > 0][::-1].astype(np.int32), 0)
         own, at = self.pairs[total]
-        while at < len(own) and not self._has(own[at], total - own[at]):
+        while at < len(own) and not self._has(int(own[at]), total - int(own[at])):
             at += 1
         self.pairs[total] = (own, at)
         taken = (but,) if but else ()
-        return next(([a, total - a] for a in own[at:] if self._has(a, total - a, *taken)), None)
+        return next(([int(a), total - int(a)] for a in own[at:] if self._has(int(a), total - int(a), *taken)), None)
 
     def triple(self, total: int) -> list[int] | None:
         if total not in self.firsts:
-            self.firsts[total] = (self.there[(3 * self.there >= total) & (self.there < total - 1)][::-1].tolist(), 0)
+            self.firsts[total] = (self.there[(3 * self.there >= total) & (self.there < total - 1)][::-1].astype(np.int32), 0)
         own, at = self.firsts[total]
         for k in range(at, len(own)):
-            a = own[k]
+            a = int(own[k])
             if self.count[a] and (found := self.pair(total - a, a)):
                 self.firsts[total] = (own, k)
                 return [a, *found]
