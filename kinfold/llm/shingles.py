@@ -22,6 +22,8 @@ from kinfold.runtime import discard, materialise
 WIDTH = 5
 #: Shingles in more than this share of a sample of texts come last in the order of shingles. Any order finds all pairs; this one keeps groups small.
 COMMON = 0.0002
+#: Times that a spanning forest, from other roots each time, is verified before all pairs that are left.
+FORESTS = 3
 #: Bits of a set's first bitmap; the second has 8 to 16 for each shingle.
 MAP = 1024
 
@@ -140,8 +142,8 @@ def _may(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
 
 
 def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> list[np.ndarray]:
-    """A spanning forest, for each key, of the pairs that can be similar or are of one part: (gram, at, sid, part, sid of the set it hangs on, sid of
-    the tree's root), for the trees with more than one part. gram is sorted."""
+    """A spanning forest, for each key, of the pairs that can be similar or are of one part: (gram, at, sid, part, sid and part of the set it hangs on,
+    sid of the tree's root), for the trees with more than one part. gram is sorted."""
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
     row, on, root = [], [], []
     for s, e in zip(start.tolist(), [*start[1:].tolist(), len(gram)]):
@@ -165,7 +167,7 @@ def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndar
                 root.append(np.full(len(own), own[0]))
     none = np.zeros(0, np.int64)
     k, h, r = (np.concatenate([none, *x]) for x in (row, on, root))
-    return [gram[k], at[k], sid[k], part[k], sid[h], sid[r]]
+    return [gram[k], at[k], sid[k], part[k], sid[h], part[h], sid[r]]
 
 
 def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +219,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], _bits(cols[4]))))
 
 
-_TREE = ["gram", "at", "sid", "part", "hung", "root"]
+_TREE = ["gram", "at", "sid", "part", "hung", "hung_part", "root"]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +306,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def common_grams(texts: DataFrame) -> np.ndarray:
     """Shingles in more than COMMON of a sample of the distinct texts. It sets only the order of shingles, so it bears on time and not on results."""
     some = materialise(texts.where(F.pmod("key", F.lit(16)) == 5).select("text").mapInArrow(_sets, "sid long, grams array<long>").distinct())
-    least = max(4, COMMON * some.count())
+    least = max(1, COMMON * some.count())
     rows = some.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > least).select("g").toPandas()
     return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
 
@@ -325,7 +327,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     SimHash finds most links, but similarity 0.8 is ten differing bits on average, which no index over segments can look up; so pairs
     that share a shingle of both prefixes, as all such pairs do, come second: those with a shingle's first set, along with those of SimHash,
-    then for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
+    then, FORESTS times, for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
     before need no look, so that a large group of near copies makes no pair list.
     Texts without words are alike. Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose
     ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
@@ -337,23 +339,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
     shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_repeated, "gram long, at long, sid long"))
 
-    def by_gram(rows: DataFrame) -> DataFrame:
-        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid")
+    def by_gram(rows: DataFrame, turn: int = 0) -> DataFrame:
+        return rows.repartition("gram").sortWithinPartitions("gram", F.xxhash64("sid", F.lit(turn)) if turn else F.col("at"), "sid")
 
-    links = verified(materialise(by_gram(shared).mapInArrow(_stars, "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
-    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
-
-    def parted(rows: DataFrame) -> DataFrame:
+    def parted(rows: DataFrame, turn: int) -> DataFrame:
         """The rows, with bitmaps, whose key has more than one component of the links so far."""
         own = rows.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
         mixed = materialise(by_gram(own).mapInArrow(_mixed, "gram long, at long, sid long, part long"))
-        return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
+        return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"), turn)
 
-    trees = materialise(parted(shared).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
-    links = links.unionByName(verified(materialise(trees.where("sid <> hung").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()), texts))
+    links = verified(materialise(by_gram(shared).mapInArrow(_stars, "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
-    rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
-    links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across, "a long, b long").distinct()), texts))
+    rest = shared
+    for turn in range(FORESTS):
+        trees = materialise(parted(rest, turn + 1).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
+        pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
+        links = links.unionByName(verified(materialise(pairs), texts))
+        roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+        rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
+    links = links.unionByName(verified(materialise(parted(rest, 0).mapInArrow(_across, "a long, b long").distinct()), texts))
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))

@@ -57,7 +57,7 @@ def test_groups_have_all_pairs_and_odd_rows_stay(spark):
     assert len(shingles.part_pairs(key, at, sid, sid, maps)[0]) == 1 + 40 * 39 // 2
     assert len(shingles.part_pairs(key, at, sid, np.zeros(43), maps)[0]) == 0
     tree = shingles.part_forest(key, at, sid, sid, maps)
-    assert len(tree[0]) == 42 and np.sum(tree[2] != tree[4]) == 1 + 39 and set(tree[5]) == {0, 2}
+    assert len(tree[0]) == 42 and np.sum(tree[2] != tree[4]) == 1 + 39 and set(tree[6]) == {0, 2}
     assert len(shingles.part_forest(key, at, sid, np.zeros(43), maps)[0]) == 0
     kept = shingles.keep_one(docs(spark, ODD)).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == sorted([(1, None), (4, "one"), (4, "two"), (5, ODD[8][1]), (6, ODD[9][1])], key=lambda x: x[0])
