@@ -22,8 +22,6 @@ from kinfold.runtime import discard, materialise
 WIDTH = 5
 #: Shingles in more than this share of a sample of texts come last in the order of shingles. Any order finds all pairs; this one keeps groups small.
 COMMON = 0.0002
-#: Times that a spanning forest, from other roots each time, is verified before all pairs that are left.
-FORESTS = 3
 #: Bits of a set's first bitmap; the second has 8 to 16 for each shingle.
 MAP = 1024
 
@@ -222,17 +220,6 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TREE = ["gram", "at", "sid", "part", "hung", "hung_part", "root"]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column(2), b.column(3)
-        keep = []
-        for k in range(len(b)):
-            g, h = x[k].values.to_numpy(), y[k].values.to_numpy()
-            both = len(g) + len(h) - len(np.union1d(g, h))
-            keep.append(bool(alike(both, len(g), len(h))))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (a, b, n, x, m, y) whose bitmaps x and y let an overlap be large enough."""
     for b in batches:
@@ -297,7 +284,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
     near = materialise(mapped.mapInArrow(_possible, "a long, b long"))
     both = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    out = materialise(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+    overlap = F.size(F.array_intersect("x", "y"))  # row by row; Arrow batches would hold thousands of whole sets
+    out = materialise(both.where(alike(overlap, F.size("x"), F.size("y"))).select("a", "b"))
     for done in (near, own, pairs):
         discard(done)
     return out
@@ -327,7 +315,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     SimHash finds most links, but similarity 0.8 is ten differing bits on average, which no index over segments can look up; so pairs
     that share a shingle of both prefixes, as all such pairs do, come second: those with a shingle's first set, along with those of SimHash,
-    then, FORESTS times, for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
+    then for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
     before need no look, so that a large group of near copies makes no pair list.
     Texts without words are alike. Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose
     ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
@@ -339,25 +327,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
     shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_repeated, "gram long, at long, sid long"))
 
-    def by_gram(rows: DataFrame, turn: int = 0) -> DataFrame:
-        return rows.repartition("gram").sortWithinPartitions("gram", F.xxhash64("sid", F.lit(turn)) if turn else F.col("at"), "sid")
+    def by_gram(rows: DataFrame) -> DataFrame:
+        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid")
 
-    def parted(rows: DataFrame, turn: int) -> DataFrame:
+    def parted(rows: DataFrame) -> DataFrame:
         """The rows, with bitmaps, whose key has more than one component of the links so far."""
         own = rows.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
         mixed = materialise(by_gram(own).mapInArrow(_mixed, "gram long, at long, sid long, part long"))
-        return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"), turn)
+        return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
 
     links = verified(materialise(by_gram(shared).mapInArrow(_stars, "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
-    rest = shared
-    for turn in range(FORESTS):
-        trees = materialise(parted(rest, turn + 1).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
-        pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
-        links = links.unionByName(verified(materialise(pairs), texts))
-        roots = connected_components(links).select(F.col("node").alias("sid"), "root")
-        rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
-    links = links.unionByName(verified(materialise(parted(rest, 0).mapInArrow(_across, "a long, b long").distinct()), texts))
+    trees = materialise(parted(shared).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
+    pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
+    links = links.unionByName(verified(materialise(pairs), texts))
+    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+    rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
+    links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across, "a long, b long").distinct()), texts))
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
