@@ -175,15 +175,16 @@ def by_blocks(score: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.n
 
 
 def tagged(units: np.ndarray, word: np.ndarray, doc: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
-    """Of the units (words, or beginnings of words) those that stand almost only in toxic texts and there after many different words."""
+    """Of the units (words, or beginnings of words) those that stand almost only in toxic texts and there after many different words. word: numbers of the words."""
     names, unit = np.unique(units, return_inverse=True)
-    before = np.unique(word, return_inverse=True)[1]
-    n, many = len(names), int(before.max()) + 1
+    unit, n = unit.astype(np.int32), len(names)
     pairs = np.unique(doc.astype(np.int64) * n + unit)
     every = np.bincount(pairs % n, minlength=n)
     bad = np.bincount((pairs % n)[toxic[pairs // n]], minlength=n)
+    del pairs
     follows = np.flatnonzero((doc[1:] == doc[:-1]) & toxic[doc[1:]]) + 1
-    support = np.bincount(np.unique(unit[follows] * many + before[follows - 1]) // many, minlength=n)
+    many = int(word.max()) + 1
+    support = np.bincount(np.unique(unit[follows].astype(np.int64) * many + word[follows - 1]) // many, minlength=n)
     return names[(bad > 0) & (bad >= LEAST_SHARE * every) & (support >= np.log(CHANCE * n) / -np.log(base))]
 
 
@@ -205,8 +206,9 @@ def gold_tags(w: Words, toxic: np.ndarray) -> np.ndarray:
         return np.zeros(len(w.word), bool)
     base = min(0.9, max(1e-3, float(toxic[w.doc[k]].mean())))
     out = np.zeros(len(w.word), bool)
+    number = np.unique(w.word[k], return_inverse=True)[1].astype(np.int32)
     for unit in (w.word, *w.stems):
-        out |= np.isin(unit, tagged(unit[k], w.word[k], w.doc[k], toxic, base))
+        out |= np.isin(unit, tagged(unit[k], number, w.doc[k], toxic, base))
     return out & toxic[w.doc]
 
 
@@ -265,7 +267,7 @@ def _evidence(doc: np.ndarray, marginal: np.ndarray, rows: int) -> np.ndarray:
     return np.log1p(20 * np.bincount(doc, weights=marginal * marginal, minlength=rows))
 
 
-_ROW = "word array<bigint>, sentence array<int>, capital array<boolean>, " + ", ".join(f"stem{k} array<bigint>" for k in STEMS)
+_ROW = "word array<bigint>, sentence array<int>, capital array<boolean>, " + ", ".join(f"stem{k} array<int>" for k in STEMS)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = tokens(text, words_only=True)
             w = words_of(t)
             cut = pa.array(np.searchsorted(t.doc, np.arange(t.rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (w.word.view(np.int64), w.sentence, w.capital, *(x.view(np.int64) for x in w.stems))]
+            lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (w.word.view(np.int64), w.sentence, w.capital, *((x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in w.stems))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "y", "word", "sentence", "capital", *(f"stem{k}" for k in STEMS)])
 
 
@@ -282,16 +284,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic",
     """The model of at most per_class labelled documents of each class; of rows with one id all texts count, as one label's."""
     rows = labelled.sample(docs, labels, label, train_rows, per_class, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(_rows, f"id {kind}, y int, {_ROW}").toArrow()
-    size = pa.compute.list_value_length(got["word"]).to_pylist()
-    order = sorted(range(len(got)), key=lambda i: (str(got["id"][i]), size[i]))
-    got = got.take(pa.array(order, pa.int64()))
-    flat = lambda name: got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(order)), [size[i] for i in order])
-    words = Words(doc, flat("sentence"), flat("word").view(np.uint64), [flat(f"stem{k}").view(np.uint64) for k in STEMS], flat("capital").astype(bool))
+    got = rows.mapInArrow(_rows, f"id {kind}, y int, {_ROW}").orderBy(F.col("id").cast("string"), F.size("word")).drop("id").toArrow()
     toxic = got["y"].to_numpy() == 1
-    del got
-    return train_crf(words, toxic)
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), pa.compute.list_value_length(got["word"]).to_numpy())
+    flat = {}
+    for name in got.column_names[1:]:  # a column leaves the table as soon as it is an array
+        flat[name] = got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        got = got.drop_columns([name])
+    stems = [flat[f"stem{k}"].view(np.uint32).astype(np.uint64) << np.uint64(32) for k in STEMS]  # the upper half is enough for places and names
+    return train_crf(Words(doc, flat["sentence"], flat["word"].view(np.uint64), stems, flat["capital"].astype(bool)), toxic)
 
 
 def tag(t: Tokens, m: Model) -> tuple[np.ndarray, np.ndarray]:
