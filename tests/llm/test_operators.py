@@ -13,7 +13,7 @@ import pytest
 pytest.importorskip("kinfold.llm")
 
 from kinfold.llm import decontam, imatch, labelled, licences, packing, pii, quality, secrets, simhash, toxicity, urls  # noqa: E402
-from kinfold.llm.queries import op2_simhash_near_dedup, word_bpe  # noqa: E402
+from kinfold.llm.queries import op2_simhash_near_dedup, op9_licence_scan, word_bpe  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, id string, key string, fp string, words string, score string, n string"
@@ -595,17 +595,63 @@ def test_licences_are_named_and_near_misses_are_not(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
-def test_licence_model_knows_its_notices_and_others():
-    import math
+def brute_paragraphs(text):
+    text = re.sub(r"(?<=[.:!?\"])[ \t\r]*\n", "\n\n", text or "")
+    return re.split(r"\n[ \t\r]*\n\s*", text)
+
+
+def brute_licences(text):
+    m, families, unknown, most = licences.model(), [], 0, None
+    for p in brute_paragraphs(text):
+        words = licences._words(p)
+        chance = m.probabilities(words)
+        best = max(range(len(chance)), key=lambda k: chance[k])
+        family, good = m.names[best], False
+        if family != "unknown" and chance[best] >= m.sure:
+            for t in licences.NOTICES[family]:
+                own = set(licences._words(t))
+                if not (own & set(licences._NAMES)) - set(words):
+                    good |= len(own & set(words)) >= licences.CONFIRM * min(len(own), len(set(words)))
+        if good:
+            families.append(family)
+            most = max(most or 0, chance[best])
+        elif re.search(licences.TRIGGER, p):
+            unknown += 1
+    return ",".join(sorted(set(families))), len(families), unknown, most
+
+
+def test_scans_match_brute_force(spark):
+    rng = random.Random(15)
+    stock = [t for texts in licences.NOTICES.values() for t in texts] + list(licences.OTHERS) + list(licences.HELD_OUT) + ["Thth onre in the heon.", "of no use", "Copyright 2021 Jane Doe", "unlicensed", ""]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            words = rng.choice(stock).split(" ")
+            words = [w for w in words if rng.random() > 0.05]
+            wrap = rng.randint(4, 12)
+            parts.append("\n".join(" ".join(words[k : k + wrap]) for k in range(0, len(words), wrap)))
+        rows.append((i, rng.choice(["\n", "\n\n", "\n \t\n"]).join(parts)))
+    got = {r.doc_id: r for r in licences.scan(docs(spark, rows)).collect()}
+    for i, t in rows:
+        families, n, unknown, most = brute_licences(t)
+        r = got[i]
+        assert (r.families, r.n_licence, r.n_unknown) == (families, n, unknown), t
+        assert (r.probability is None) == (most is None) and (most is None or abs(r.probability - most) < 1e-5)
+
 
-    weight, bias, heat = licences.model()
-    names = [*licences.NOTICES, "unknown"]
+def test_whole_table_scan_matches_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: (r.families, r.n_licence, r.n_unknown) for r in op9_licence_scan(spark, sf).collect()}
+    assert got == {r.doc_id: brute_licences(r.text)[:3] for r in rows} and any(n for _, n, _ in got.values())
 
-    def best(text):
-        g = licences._grams(licences._words(text)) & weight.keys()
-        z = [(b + sum(weight[x][k] for x in g) / math.sqrt(max(1, len(g)))) / heat for k, b in enumerate(bias)]
-        return names[z.index(max(z))]
 
-    wrong = [(k, t) for k, texts in licences.NOTICES.items() for t in texts if best(t) != k]
-    assert len(wrong) <= 2, wrong
+def test_licence_model_knows_its_notices_and_refuses_others():
+    m = licences.model()
+    best = lambda t: max(zip(m.probabilities(licences._words(t)), m.names))[1]
+    assert all(best(t) == k for k, texts in licences.NOTICES.items() for t in texts)
     assert all(best(t) == "unknown" for t in licences.OTHERS)
+    found = [t for t in licences.HELD_OUT if brute_licences(t)[0]]
+    assert not found
+    for text, family in [("EPL-2.0 licensed", "epl"), ("Released under the Unlicense License.", "unlicense"), ("MIT-like Foo License", ""), ("Licensed under the AGPL-3.0", "agpl"), ("Licensed under the LGPL, version 3.", "lgpl"), ("Unwarranted claims abound", "")]:
+        assert brute_licences(text)[0] == family, text
