@@ -239,13 +239,6 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike(np.minimum(n - fewer, m - more), n, m)))
 
 
-def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own = [g.values.to_numpy().view(np.uint64) for g in b.column(1)]
-        maps = [bitmap(g, 1 << max(9, (8 * len(g)).bit_length())) for g in own]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in own], pa.int64()), pa.array(maps, pa.binary())], ["sid", "n", "map"])
-
-
 #: Bits of the filter that names the sets to be verified, at most; beyond, more sets than needed are looked at, with the same result.
 FILTER_BITS = 1 << 27
 
@@ -269,7 +262,9 @@ def _needed_sets(sent):
                 place = np.fromiter(own, np.uint64, len(own)).view(np.int64) % (64 * len(there))
                 hit = (there[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
                 keep = [(s, g) for (s, g), h in zip(own.items(), hit.tolist()) if h]
-                yield pa.RecordBatch.from_arrays([_signed([s for s, _ in keep]), _lists([g for _, g in keep])], ["sid", "grams"])
+                maps = [bitmap(g, 1 << max(9, (8 * len(g)).bit_length())) for _, g in keep]
+                cols = [_signed([s for s, _ in keep]), pa.array([len(g) for _, g in keep], pa.int64()), pa.array(maps, pa.binary()), _lists([g for _, g in keep])]
+                yield pa.RecordBatch.from_arrays(cols, ["sid", "n", "map", "grams"])
 
     return run
 
@@ -279,11 +274,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     that few pairs carry whole sets. pairs is a table in shared scratch and is deleted."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sent = pairs.sparkSession.sparkContext.broadcast(_filter(need))
-    own = materialise(texts.select("text").mapInArrow(lambda it: _needed_sets(sent)(it), "sid long, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
-    maps = own.mapInArrow(_mapped, "sid long, n long, map binary")
+    own = materialise(texts.select("text").mapInArrow(lambda it: _needed_sets(sent)(it), "sid long, n long, map binary, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
+    maps, own_sets = own.select("sid", "n", "map"), own.select("sid", "grams")
     mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
     near = materialise(mapped.mapInArrow(_possible, "a long, b long"))
-    both = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    both = near.join(own_sets.toDF("a", "x"), "a").join(own_sets.toDF("b", "y"), "b")
     overlap = F.size(F.array_intersect("x", "y"))  # row by row; Arrow batches would hold thousands of whole sets
     out = materialise(both.where(alike(overlap, F.size("x"), F.size("y"))).select("a", "b"))
     for done in (near, own, pairs):
