@@ -16,7 +16,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # on lower-cased UTF-8: the bytes ou
 #: Words of benchmark text that one broadcast block may hold; a larger benchmark is worked off block by block.
 BLOCK_WORDS = 2_000_000
 #: Bytes of document text in one shard, that is, under one suffix array.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -292,6 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic",
         flat[name] = got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         got = got.drop_columns([name])
     stems = [flat[f"stem{k}"].view(np.uint32).astype(np.uint64) << np.uint64(32) for k in STEMS]  # the upper half is enough for places and names
+    del got
+    pa.default_memory_pool().release_unused()
     return train_crf(Words(doc, flat["sentence"], flat["word"].view(np.uint64), stems, flat["capital"].astype(bool)), toxic)
 
 
