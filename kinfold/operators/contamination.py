@@ -175,6 +175,18 @@ def build(base: DataFrame, cohorts: DataFrame, treated: DataFrame, assignments:
     return Design(clean, leak, swaps, budget, integrity)
 
 
+def in_place(design: Design) -> DataFrame:
+    """(place, id, family_id, tokens): the contaminated set in the order of ids of the clean one, each donor in the place of the file that it replaces."""
+    from kinfold.operators.split import global_rank
+
+    clean = design.clean.select(F.col("id").cast("string").alias("id"), "family_id", "tokens")
+    placed = global_rank(clean.withColumn("_h", stable("place", F.col("id"))), "_h", [F.col("_h"), F.col("id")], "place")
+    donors = design.leak.select(F.col("id").cast("string").alias("donor"), F.col("family_id").alias("_family"), F.col("tokens").alias("_tokens"))
+    swaps = design.replacements.select(F.col("removed").alias("id"), F.col("donor")).join(donors, "donor")
+    both = placed.join(swaps, "id", "left")
+    return both.select("place", F.coalesce("donor", "id").alias("id"), F.coalesce("_family", "family_id").alias("family_id"), F.coalesce("_tokens", "tokens").alias("tokens"))
+
+
 def override_slots(clean: DataFrame, other: DataFrame, key: str = "slot") -> DataFrame:
     """Every slot of clean, whole rows from other where other has the slot."""
     own, new = F.struct(*(F.col(f"c.{x}") for x in clean.columns)), F.struct(*(F.col(f"o.{x}").alias(x) for x in clean.columns))

@@ -330,20 +330,21 @@ def select_pairs(scored: DataFrame, threshold: float = DETECTOR["threshold"], mu
     return scored.where((F.col("score") >= threshold) & (F.col("mutual_support") >= mutual))
 
 
-def detect(notes: DataFrame, trees: dict, k: int = DETECTOR["k"], threshold: float = DETECTOR["threshold"], mutual: int = DETECTOR["mutual"], limit: int = DETECTOR["component"]) -> dict[str, DataFrame]:
+def detect(notes: DataFrame, trees: dict, k: int = DETECTOR["k"], threshold: float = DETECTOR["threshold"], mutual: int = DETECTOR["mutual"], limit: int = DETECTOR["component"], files: int | None = None, width: int = 8192) -> dict[str, DataFrame]:
     """The whole detector on a note table: candidates from nine signals, 47 pair features, tree scores, selection, guarded components.
 
-    Token signals find neighbours through shared tokens, dense ones by block products. trees must use the feature names of features_of().
+    files: how many files there are, those without notes or that could not be read included; by default the pieces with notes. Tokens are hashed to `width`
+    buckets before they are weighted, so that a bucket's count has its own frequency. Token signals find neighbours through shared tokens, dense ones by block products. trees must use the feature names of features_of().
     """
     from kinfold.operators.graph import guarded_components
 
-    pieces = notes.select("piece").distinct().count()
+    pieces = files if files is not None else notes.select("piece").distinct().count()
     bags = materialise(token_bags(notes))
-    weights = materialise(tfidf(bags, pieces))
+    weights = materialise(tfidf(hash_tokens(bags, width), pieces))
     steps = intervals(slots(notes))
     dense = chroma(notes).join(duration_histogram(notes), "piece")
     dense = materialise(dense.join(ioi_histogram(steps), "piece", "left").join(interval_histogram(steps), "piece", "left"))
-    found = token_neighbours(weights, k)
+    found = token_neighbours(weights, k, width)
     for c in ("interval_hist", "duration_hist", "ioi_hist", "chroma"):
         v = dense.where(F.col(c).isNotNull()).select("piece", (music.peak_first(F.col(c)) if c == "chroma" else F.col(c)).alias("vector"))
         found = found.unionByName(knn_cosine(v, k).select(F.lit(c).alias("signal"), "a", "b", "rank"))
@@ -358,12 +359,11 @@ def detect(notes: DataFrame, trees: dict, k: int = DETECTOR["k"], threshold: flo
 
 
 def token_neighbours(weights: DataFrame, k: int, width: int = 8192) -> DataFrame:
-    """(signal, a, b, rank): for each token group the k nearest pieces by cosine of hashed token weights, among those that share a bucket; ties by id.
+    """(signal, a, b, rank): for each token group the k nearest pieces by cosine of the weights of hash_tokens(), among those that share a bucket; ties by id.
 
     As in knn_cosine(), by block products: a token that all pieces have costs no more than any other.
     """
-    bucket = F.pmod(F.xxhash64("token"), F.lit(width)).cast("int")
-    summed = weights.groupBy("grp", "piece", bucket.alias("i")).agg(F.sum("weight").alias("w"))
+    summed = weights.select("grp", "piece", F.col("token").cast("int").alias("i"), F.col("weight").alias("w"))
     per = summed.groupBy("grp", "piece").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("s"))
     vectors = materialise(per.select("grp", F.col("piece").alias("id"), F.col("s.i").alias("idx"), music.unit(F.col("s.w")).alias("u")))
     out = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold import validate
 from kinfold.runtime import discard, materialise
 
 
@@ -14,12 +15,28 @@ def _starred(e: DataFrame) -> bool:
     return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").head(1)
 
 
+#: Nodes with more than this many edges, and more than one in HUB_SHARE of all edges, are joined by broadcast: there are 2 * HUB_SHARE of them at most.
+HUB_EDGES, HUB_SHARE = 10_000, 10_000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, most: int | None) -> DataFrame:
+    """rows (u, v) with the m of their u; low: (u, m, n). The rows of a hub, of more than `most` edges, stay where they are, so that they do
+    not gather in one task; without hubs (None) it is a plain join."""
+    if most is None:
+        return rows.join(low.select("u", "m"), "u")
+    hub = F.col("n") > most
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    found = rows.join(hubs, "u", "left").withColumnRenamed("m", "_hub")
+    rest = found.where("_hub is null").join(low.where(~hub).select("u", "m"), "u")
+    return found.where("_hub is not null").select("u", "v", F.col("_hub").alias("m")).unionByName(rest.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for every node that occurs in edges; root is the smallest node of its component.
 
     Alternates large-star and small-star contraction, so the number of rounds grows with
     the logarithm of the diameter. Each round is two partial aggregations and two equi-joins on the
-    node, and is written to shared scratch. Self-loops, repeated edges and edges
+    node, and is written to shared scratch; nodes of very many edges are joined by broadcast. Self-loops, repeated edges and edges
     with a null end are allowed; a null end is ignored. No edges: no rows.
     """
     u, v = F.col(left), F.col(right)
@@ -28,10 +45,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     now = materialise(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _starred(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        turned = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        ends, top = low.agg(F.sum("n"), F.max("n")).first()
+        most = max(HUB_EDGES, ends // 2 // HUB_SHARE)
+        most = most if top > most else None  # no node has more edges after large-star than before
+        large = _with_low(both.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        turned = _with_low(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialise(turned.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(now)
         now = after
@@ -41,8 +61,22 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return known.unionByName(loops.join(known.select("node"), "node", "left_anti"))
 
 
-def family_map(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, family_id): connected components named by the sha256 of their sorted members; an id without edges is a family of one."""
+def attach_families(rows: DataFrame, families: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the family_id that the map (key, family_id) has for their key; an error names the first key that the map does not know."""
+    known = families.select(F.col(key), F.col("family_id").alias("_family"))
+    both = rows.drop("family_id").join(known, key, "left")
+    if lost := both.where("_family is null").select(F.col(key).cast("string").alias("k")).orderBy("k").head(1):
+        raise ValueError(f"no family is mapped for {lost[0]['k']}")
+    return both.withColumnRenamed("_family", "family_id")
+
+
+def family_map(ids: DataFrame, edges: DataFrame, checked: bool = True) -> DataFrame:
+    """(id, family_id): connected components named by the sha256 of their sorted members; an id without edges is a family of one.
+
+    Repeated ids, edges to unknown ids and edges given twice are errors, unless the caller has checked the tables before.
+    """
+    if checked:
+        validate.raise_first(validate.edge_violations(ids, edges))
     roots = connected_components(edges)
     named = ids.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     label = F.sha2(F.concat_ws("\x00", F.lit("family-component-v1"), F.array_sort(F.collect_list("id"))), 256)

@@ -134,10 +134,11 @@ def component_choices(components: DataFrame, files: int, ratios: Sequence[float]
     return keyed.withColumn("_own", own).join(first, [*by, "size"]).select(*by, "component", "size", F.when(total <= cut[0], 0).when(total <= cut[0] + cut[1], 1).otherwise(2).alias("choice"))
 
 
-def component_split(nodes: DataFrame, groups: DataFrame, files: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int | Column = 0, by: Sequence[str] = ()) -> DataFrame:
+def component_split(nodes: DataFrame, groups: DataFrame, files: int, ratios: Sequence[float] = (0.8, 0.1, 0.1), seed: int | Column = 0, by: Sequence[str] = (), own: Column | None = None) -> DataFrame:
     """(by, node, split 0..2): components by component_choices(), then the other nodes in hash order fill what the targets leave.
 
-    nodes: (by, node); groups: (by, node, root) of components with two nodes or more, numbered by their smallest node; files: nodes of each `by`.
+    nodes: (by, node); groups: (by, node, root) of components with two nodes or more, numbered by their smallest node; files: nodes of each `by`;
+    own: what of a node its hash is made of.
     """
     comps = groups.groupBy(*by, "root").agg(F.count("*").alias("size"), F.min("node").alias("least"))
     index = F.row_number().over(Window.partitionBy(*by).orderBy("least")) - 1  # numbers of components are part of the rule
@@ -146,7 +147,7 @@ def component_split(nodes: DataFrame, groups: DataFrame, files: int, ratios: Seq
     target = target_counts(files, ratios)
     used = chosen.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(F.col("choice") == k, F.col("size"))), F.lit(0)).alias(f"_u{k}") for k in range(3)))
     alone = nodes.join(groups.select(*by, "node"), [*by, "node"], "left_anti")
-    ranked = global_rank(alone.withColumn("_h", stable("singleton-fill", seed, F.col("node"))), "_h", [F.col("_h"), F.col("node")], "_r", by=by)
+    ranked = global_rank(alone.withColumn("_h", stable("singleton-fill", seed, F.col("node") if own is None else own)), "_h", [F.col("_h"), F.col("node")], "_r", by=by)
     ranked = ranked.join(used, list(by), "left") if by else ranked.crossJoin(F.broadcast(used))  # without by, used is one row
     has = [F.coalesce(f"_u{k}", F.lit(0)) for k in range(3)]
     room = [F.greatest(F.lit(t) - u, F.lit(0)) for t, u in zip(target, has)]

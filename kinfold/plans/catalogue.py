@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from kinfold.plans import effect_queries, family_queries, note_queries  # noqa: E402, F401
+from kinfold.plans import effect_queries, family_queries, note_queries, source_queries  # noqa: E402, F401

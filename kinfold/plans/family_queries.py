@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold import validate
+from kinfold.hashing import stable
 from kinfold.operators import audit, census, contamination, graph, simulation, split, stats
 from kinfold.plans import views
 from kinfold.plans.catalogue import query
@@ -91,13 +92,14 @@ def file_level_split(spark: SparkSession, sf: str) -> DataFrame:
     return split.file_split(views.orders(spark, sf).drop("split"), seed=3).select("id", "split")
 
 
-@query(f"""WITH {views.ORDERS}, c AS (SELECT family_id AS component, count(*) AS size, row_number() OVER (ORDER BY family_id) - 1 AS index FROM ord GROUP BY family_id), n AS (SELECT count(*) AS n FROM ord),
+@query(f"""WITH {views.ORDERS}, c AS (SELECT family_id AS component, count(*) AS size, row_number() OVER (ORDER BY sha256('component' || chr(0) || family_id), family_id) - 1 AS index FROM ord GROUP BY family_id), n AS (SELECT count(*) AS n FROM ord),
 o AS (SELECT component, size, sum(size) OVER (ORDER BY size DESC, (index::HUGEINT * 2654435761 + 7) % 4294967296, index ROWS UNBOUNDED PRECEDING) AS total FROM c)
 SELECT component, size, CASE WHEN total <= n - 2 * floor(0.1 * n) THEN 0 WHEN total <= n - floor(0.1 * n) THEN 1 ELSE 2 END AS choice FROM o, n""")
 def component_threshold_split(spark: SparkSession, sf: str) -> DataFrame:
     o = views.orders(spark, sf)
     comps = o.groupBy(F.col("family_id").alias("component")).agg(F.count("*").alias("size"))
-    numbered = comps.withColumn("index", F.row_number().over(Window.orderBy("component")) - 1)
+    hashed = comps.withColumn("_h", stable("component", F.col("component")))  # numbers of components in ranges of their hashes
+    numbered = split.global_rank(hashed, "_h", [F.col("_h"), F.col("component")], "index").withColumn("index", F.col("index") - 1).drop("_h")
     return split.component_choices(numbered, o.count(), seed=7)
 
 
