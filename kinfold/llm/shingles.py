@@ -131,12 +131,18 @@ def star_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray) -> tuple[np.nd
     return sid[i[j]], sid[j]
 
 
-def _may(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Which of the sets j can be similar to the set i, by size, place and bitmap."""
+def _most(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """What the overlaps of set i and the sets j are at most, by their bitmaps."""
     n, own = at >> 32, maps[i]
     fewer = np.bitwise_count(own & ~maps[j]).sum(axis=1, dtype=np.int64)
     more = np.bitwise_count(maps[j] & ~own).sum(axis=1, dtype=np.int64)
-    return _fits(at, np.full(len(j), i), j) & alike(np.minimum(n[i] - fewer, n[j] - more), n[i], n[j])
+    return np.minimum(n[i] - fewer, n[j] - more)
+
+
+def _may(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Which of the sets j can be similar to the set i, by size, place and bitmap."""
+    n = at >> 32
+    return _fits(at, np.full(len(j), i), j) & alike(_most(at, maps, i, j), n[i], n[j])
 
 
 def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> list[np.ndarray]:
@@ -168,19 +174,33 @@ def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndar
     return [gram[k], at[k], sid[k], part[k], sid[h], part[h], sid[r]]
 
 
-def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sets under equal keys in different parts all pairs that can be similar. gram is sorted."""
+def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets under equal keys in different parts all pairs that can be similar; with best only the pair, of each two parts, whose overlap can be the
+    largest share. gram is sorted."""
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    a, b = [], []
+    n = at >> 32
+    none = np.zeros(0, np.int64)
+    a, b = [none], [none]
     for s, e in zip(start.tolist(), [*start[1:].tolist(), len(gram)]):
+        ours: list[list[np.ndarray]] = [[none], [none], [np.zeros(0)]]
         for i in range(s, e - 1):
             j = np.arange(i + 1, e)
             j = j[part[j] != part[i]]
             j = j[_may(at, maps, i, j)]
-            a.append(np.full(len(j), sid[i]))
-            b.append(sid[j])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+            if len(j):
+                most = _most(at, maps, i, j) if best else n[j]
+                for held, own in zip(ours, (np.full(len(j), i), j, most / (n[i] + n[j] - most) if best else most)):
+                    held.append(own)
+        i, j, share = (np.concatenate(x) for x in ours)
+        if best and len(i):
+            p, q = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+            order = np.lexsort((j, i, -share, q, p))
+            p, q = p[order], q[order]
+            order = order[np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]]
+            i, j = i[order], j[order]
+        a.append(sid[i])
+        b.append(sid[j])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -213,8 +233,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _runs(batches, lambda *cols: pa.RecordBatch.from_arrays([pa.array(c) for c in part_forest(*cols[:4], _bits(cols[4]))], _TREE))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], _bits(cols[4]))))
+def _across(best: bool):
+    return lambda batches: _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], _bits(cols[4]), best)))
 
 
 _TREE = ["gram", "at", "sid", "part", "hung", "hung_part", "root"]
@@ -310,7 +330,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     SimHash finds most links, but similarity 0.8 is ten differing bits on average, which no index over segments can look up; so pairs
     that share a shingle of both prefixes, as all such pairs do, come second: those with a shingle's first set, along with those of SimHash,
-    then for each shingle a spanning forest of the pairs that bitmaps leave, and last all that are left. Pairs within a component found
+    then for each shingle a spanning forest of the pairs that bitmaps leave, then the likeliest pair of each two components, and last all that are left. Pairs within a component found
     before need no look, so that a large group of near copies makes no pair list.
     Texts without words are alike. Rows are told apart by id and text, so repeated ids with other texts are not lost; a component whose
     ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
@@ -338,8 +358,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = links.unionByName(verified(materialise(pairs), texts))
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
-    links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across, "a long, b long").distinct()), texts))
-    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+    for best in (True, False):
+        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across(best), "a long, b long").distinct()), texts))
+        roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
     i, k, own = fresh_names(docs.columns, "kept_id", "kept_key", "key")

@@ -56,6 +56,7 @@ def test_groups_have_all_pairs_and_odd_rows_stay(spark):
     assert len(shingles.star_pairs(key, at, sid)[0]) == 1 + 39
     assert len(shingles.part_pairs(key, at, sid, sid, maps)[0]) == 1 + 40 * 39 // 2
     assert len(shingles.part_pairs(key, at, sid, np.zeros(43), maps)[0]) == 0
+    assert len(shingles.part_pairs(key, at, sid, sid % 3, maps, True)[0]) == 1 + 3
     tree = shingles.part_forest(key, at, sid, sid, maps)
     assert len(tree[0]) == 42 and np.sum(tree[2] != tree[4]) == 1 + 39 and set(tree[6]) == {0, 2}
     assert len(shingles.part_forest(key, at, sid, np.zeros(43), maps)[0]) == 0
