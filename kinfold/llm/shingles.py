@@ -69,16 +69,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, len(whole), 1024):
-            own = [grams(t.as_py()) for t in whole.column(0).slice(at, 1024)]
+        for at in range(0, len(whole), 256):
+            own = [grams(t.as_py()) for t in whole.column(0).slice(at, 256)]
             yield pa.RecordBatch.from_arrays([_signed([set_id(g) for g in own]), _lists(own)], ["sid", "grams"])
 
 
 def _keyed(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
                 every = [simhash.shingle_hashes(t.as_py(), WIDTH) for t in b.column(1)]
                 own = [np.unique(h) for h in every]
                 cols = [b.column(0), b.column(2), _signed([simhash.majority(h) for h in every]), _signed([set_id(g) for g in own]), pa.array([len(g) for g in own], pa.int64()), _lists([prefix(g, common) for g in own]), pa.array([bitmap(g) for g in own], pa.binary())]
@@ -105,7 +105,7 @@ def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
         for h, c in zip(held, batch.columns):
             h.append(c.to_numpy(zero_copy_only=False))
         count += len(batch)
-        if count >= 1 << 16 and held[0][-1][-1] != held[0][0][0]:
+        if count >= 1 << 15 and held[0][-1][-1] != held[0][0][0]:
             cols = [np.concatenate(h) for h in held]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             yield work(*(c[:cut] for c in cols))
@@ -277,8 +277,8 @@ def _needed_sets(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = sent.value
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                own = {set_id(g): g for g in (grams(t.as_py()) for t in whole.column(0).slice(at, 1024))}
+            for at in range(0, len(whole), 256):
+                own = {set_id(g): g for g in (grams(t.as_py()) for t in whole.column(0).slice(at, 256))}
                 place = np.fromiter(own, np.uint64, len(own)).view(np.int64) % (64 * len(there))
                 hit = (there[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
                 keep = [(s, g) for (s, g), h in zip(own.items(), hit.tolist()) if h]

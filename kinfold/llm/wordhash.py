@@ -99,7 +99,7 @@ def code_points(t: Tokens, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return whole[at] - whole[t.offset[doc]]
 
 
-def chunks(batch: pa.RecordBatch, column: int, target: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def chunks(batch: pa.RecordBatch, column: int, target: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of about so many bytes of text (one row at least), with the text column as large strings."""
     text = batch.column(column).cast(pa.large_string())
     n = len(text)
