@@ -12,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.memory import given_back
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # on lower-cased UTF-8: the bytes outside \x00-\x2F, \x3A-\x60, \x7B-\x7F
 #: Words of benchmark text that one broadcast block may hold; a larger benchmark is worked off block by block.
 BLOCK_WORDS = 2_000_000
@@ -272,4 +274,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             for part, words in _shards(whole, column):
                 yield part.filter(pa.array([n < limit for n in _shard(words, blocks)["n_items"]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)

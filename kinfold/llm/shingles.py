@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import simhash
+from kinfold.llm.memory import given_back
 from kinfold.llm.names import fresh_names
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import discard, materialise
@@ -294,10 +295,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     that few pairs carry whole sets. pairs is a table in shared scratch and is deleted."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sent = pairs.sparkSession.sparkContext.broadcast(_filter(need))
-    own = materialise(texts.select("text").mapInArrow(lambda it: _needed_sets(sent)(it), "sid long, n long, map binary, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
+    own = materialise(texts.select("text").mapInArrow(given_back(lambda it: _needed_sets(sent)(it)), "sid long, n long, map binary, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
     maps, own_sets = own.select("sid", "n", "map"), own.select("sid", "grams")
     mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
-    near = materialise(mapped.mapInArrow(_possible, "a long, b long"))
+    near = materialise(mapped.mapInArrow(given_back(_possible), "a long, b long"))
     both = near.join(own_sets.toDF("a", "x"), "a").join(own_sets.toDF("b", "y"), "b")
     overlap = F.size(F.array_intersect("x", "y"))  # row by row; Arrow batches would hold thousands of whole sets
     out = materialise(both.where(alike(overlap, F.size("x"), F.size("y"))).select("a", "b"))
@@ -308,7 +309,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def common_grams(texts: DataFrame) -> np.ndarray:
     """Shingles in more than COMMON of a sample of the distinct texts. It sets only the order of shingles, so it bears on time and not on results."""
-    some = materialise(texts.where(F.pmod("key", F.lit(16)) == 5).select("text").mapInArrow(_sets, "sid long, grams array<long>").distinct())
+    some = materialise(texts.where(F.pmod("key", F.lit(16)) == 5).select("text").mapInArrow(given_back(_sets), "sid long, grams array<long>").distinct())
     least = max(1, COMMON * some.count())
     rows = some.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > least).select("g").toPandas()
     return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
@@ -337,10 +338,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    keyed = materialise(texts.mapInArrow(_keyed(common_grams(texts)), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
+    keyed = materialise(texts.mapInArrow(given_back(_keyed(common_grams(texts))), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
     maps = keyed.select("sid", "map").dropDuplicates(["sid"])
     each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
-    shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(_repeated, "gram long, at long, sid long"))
+    shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(given_back(_repeated), "gram long, at long, sid long"))
 
     def by_gram(rows: DataFrame) -> DataFrame:
         return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid")
@@ -348,18 +349,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def parted(rows: DataFrame) -> DataFrame:
         """The rows, with bitmaps, whose key has more than one component of the links so far."""
         own = rows.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
-        mixed = materialise(by_gram(own).mapInArrow(_mixed, "gram long, at long, sid long, part long"))
+        mixed = materialise(by_gram(own).mapInArrow(given_back(_mixed), "gram long, at long, sid long, part long"))
         return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
 
-    links = verified(materialise(by_gram(shared).mapInArrow(_stars, "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
+    links = verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
-    trees = materialise(parted(shared).mapInArrow(_forest, ", ".join(f"{c} long" for c in _TREE)))
+    trees = materialise(parted(shared).mapInArrow(given_back(_forest), ", ".join(f"{c} long" for c in _TREE)))
     pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
     links = links.unionByName(verified(materialise(pairs), texts))
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
     for best in (True, False):
-        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(_across(best), "a long, b long").distinct()), texts))
+        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(given_back(_across(best)), "a long, b long").distinct()), texts))
         roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))

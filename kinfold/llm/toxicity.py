@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
+from kinfold.llm.memory import given_back
 from kinfold.llm.wordhash import Tokens, chunks, code_points, mix, tokens
 
 BITS = 20
@@ -351,4 +352,4 @@ def keep_clean(docs: DataFrame, model: Model, at: float = 0.5, text_col: str = "
             for part, text in chunks(b, column):
                 yield part.filter(pa.array(tag(tokens(text, words_only=True), sent.value)[0] < at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
