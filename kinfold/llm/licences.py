@@ -44,6 +44,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "Licensed under the LGPL, version 2.1 or later.",
+        "Licensed under the LGPL, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     ),
