@@ -265,10 +265,10 @@ FILTER_BITS = 1 << 27
 
 
 def _filter(need: DataFrame) -> np.ndarray:
-    """A bit for each needed set id, 16 bits of room for each, FILTER_BITS at most."""
+    """A bit for the row of each needed set, 16 bits of room for each, FILTER_BITS at most."""
     bits = min(FILTER_BITS, 1 << max(6, (16 * need.count()).bit_length()))
-    place = F.pmod("sid", F.lit(bits))
-    rows = need.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(sid, {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    place = F.pmod("row", F.lit(bits))
+    rows = need.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(row, {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -278,24 +278,26 @@ def _needed_sets(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = sent.value
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                own = {set_id(g): g for g in (grams(t.as_py()) for t in whole.column(0).slice(at, 256))}
-                place = np.fromiter(own, np.uint64, len(own)).view(np.int64) % (64 * len(there))
-                hit = (there[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-                keep = [(s, g) for (s, g), h in zip(own.items(), hit.tolist()) if h]
-                maps = [bitmap(g, 1 << max(9, (8 * len(g)).bit_length())) for _, g in keep]
-                cols = [_signed([s for s, _ in keep]), pa.array([len(g) for _, g in keep], pa.int64()), pa.array(maps, pa.binary()), _lists([g for _, g in keep])]
+            place = whole.column(0).to_numpy() % (64 * len(there))
+            hit = np.flatnonzero((there[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+            for at in range(0, len(hit), 256):
+                own = {set_id(g): g for g in (grams(whole.column(1)[k].as_py()) for k in hit[at : at + 256].tolist())}
+                maps = [bitmap(g, 1 << max(9, (8 * len(g)).bit_length())) for g in own.values()]
+                cols = [_signed([*own]), pa.array([len(g) for g in own.values()], pa.int64()), pa.array(maps, pa.binary()), _lists([*own.values()])]
                 yield pa.RecordBatch.from_arrays(cols, ["sid", "n", "map", "grams"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose sets have a Jaccard similarity of 0.8 or more. Bitmaps of the sets first bound the overlap from above, so
-    that few pairs carry whole sets. pairs is a table in shared scratch and is deleted."""
+    that few pairs carry whole sets. rows has (sid, row), so that a needed set is made from one row of texts (row, text) and no others are looked at. pairs
+    is a table in shared scratch and is deleted."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sent = pairs.sparkSession.sparkContext.broadcast(_filter(need))
-    own = materialise(texts.select("text").mapInArrow(given_back(lambda it: _needed_sets(sent)(it)), "sid long, n long, map binary, grams array<long>").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
+    one = rows.join(need, "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    sent = pairs.sparkSession.sparkContext.broadcast(_filter(one))
+    made = texts.select("row", "text").mapInArrow(given_back(lambda it: _needed_sets(sent)(it)), "sid long, n long, map binary, grams array<long>")
+    own = materialise(made.join(need, "sid", "left_semi").dropDuplicates(["sid"]))
     maps, own_sets = own.select("sid", "n", "map"), own.select("sid", "grams")
     mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
     near = materialise(mapped.mapInArrow(given_back(_possible), "a long, b long"))
@@ -337,30 +339,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids are all null keeps one row. Names of docs cannot clash with those used here; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    keyed = materialise(texts.mapInArrow(given_back(_keyed(common_grams(texts))), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).withColumn("row", F.xxhash64("id", "key"))
+    keyed = materialise(texts.select("id", "text", "key").mapInArrow(given_back(_keyed(common_grams(texts))), f"id {kind}, key long, fp long, sid long, n long, prefix array<long>, map binary"))
+    rows = keyed.select("sid", F.xxhash64("id", "key").alias("row"))
     maps = keyed.select("sid", "map").dropDuplicates(["sid"])
     each = keyed.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "sid")
     shared = materialise(each.repartition("gram").sortWithinPartitions("gram", "at", "sid").mapInArrow(given_back(_repeated), "gram long, at long, sid long"))
 
-    def by_gram(rows: DataFrame) -> DataFrame:
-        return rows.repartition("gram").sortWithinPartitions("gram", "at", "sid")
+    def by_gram(table: DataFrame) -> DataFrame:
+        return table.repartition("gram").sortWithinPartitions("gram", "at", "sid")
 
-    def parted(rows: DataFrame) -> DataFrame:
-        """The rows, with bitmaps, whose key has more than one component of the links so far."""
-        own = rows.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
+    def parted(table: DataFrame) -> DataFrame:
+        """The rows of the table, with bitmaps, whose key has more than one component of the links so far."""
+        own = table.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
         mixed = materialise(by_gram(own).mapInArrow(given_back(_mixed), "gram long, at long, sid long, part long"))
         return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
 
-    links = verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts)
+    links = verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts, rows)
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     trees = materialise(parted(shared).mapInArrow(given_back(_forest), ", ".join(f"{c} long" for c in _TREE)))
     pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
-    links = links.unionByName(verified(materialise(pairs), texts))
+    links = links.unionByName(verified(materialise(pairs), texts, rows))
     roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
     for best in (True, False):
-        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(given_back(_across(best)), "a long, b long").distinct()), texts))
+        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(given_back(_across(best)), "a long, b long").distinct()), texts, rows))
         roots = connected_components(links).select(F.col("node").alias("sid"), "root")
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
