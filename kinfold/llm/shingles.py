@@ -23,8 +23,9 @@ from kinfold.runtime import discard, materialise
 WIDTH = 5
 #: Shingles in more than this share of a sample of texts come last in the order of shingles. Any order finds all pairs; this one keeps groups small.
 COMMON = 0.0002
-#: Bits of a set's first bitmap; the second has 8 to 16 for each shingle.
-MAP = 1024
+#: Bits of a set's first bitmap: the power of two over its number of shingles, from the first to the second of these; a bitmap too small for its set only
+#: lets more pairs through. The second bitmap has 8 to 16 for each shingle.
+MAP = (1 << 10, 1 << 13)
 
 
 def grams(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -47,7 +48,11 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([own[~late], own[late]])[: len(own) - (4 * len(own) + 4) // 5 + 1] if len(own) else own
 
 
-def bitmap(own: np.ndarray, size: int = MAP) -> bytes:
+def map_size(n: int) -> int:
+    return min(MAP[1], max(MAP[0], 1 << n.bit_length()))
+
+
+def bitmap(own: np.ndarray, size: int) -> bytes:
     """One bit for each shingle; a bit that another set's map lacks stands for at least one shingle that the other lacks."""
     bits = np.zeros(size, np.uint8)
     bits[(own % np.uint64(size)).astype(np.int64)] = 1
@@ -82,20 +87,19 @@ def _keyed(common: np.ndarray):
                 b = whole.slice(at, 256)
                 every = [simhash.shingle_hashes(t.as_py(), WIDTH) for t in b.column(1)]
                 own = [np.unique(h) for h in every]
-                cols = [b.column(0), b.column(2), _signed([simhash.majority(h) for h in every]), _signed([set_id(g) for g in own]), pa.array([len(g) for g in own], pa.int64()), _lists([prefix(g, common) for g in own]), pa.array([bitmap(g) for g in own], pa.binary())]
+                cols = [b.column(0), b.column(2), _signed([simhash.majority(h) for h in every]), _signed([set_id(g) for g in own]), pa.array([len(g) for g in own], pa.int64()), _lists([prefix(g, common) for g in own]), pa.array([bitmap(g, map_size(len(g))) for g in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "key", "fp", "sid", "n", "prefix", "map"])
 
     return run
 
 
 def _fits(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether two sets that share the shingle at these places of the order can be similar. at: size and place, 32 bits each."""
-    n, pos = at >> 32, at & 0xFFFFFFFF
-    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-    return alike(most, n[i], n[j])
+    """Whether two sets can be similar if the shingle at these places of the order is the first that they share. at: size and place, 32 bits each."""
+    n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+    return alike(np.minimum(rest[i], rest[j]), n[i], n[j])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], work, most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """work() over the columns of batches sorted by their first column, so cut that equal keys stay together."""
     held: list[list[np.ndarray]] = []
     count = 0
@@ -106,7 +110,7 @@ def _runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
         for h, c in zip(held, batch.columns):
             h.append(c.to_numpy(zero_copy_only=False))
         count += len(batch)
-        if count >= 1 << 15 and held[0][-1][-1] != held[0][0][0]:
+        if count >= most and held[0][-1][-1] != held[0][0][0]:
             cols = [np.concatenate(h) for h in held]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             yield work(*(c[:cut] for c in cols))
@@ -132,21 +136,51 @@ def star_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray) -> tuple[np.nd
     return sid[i[j]], sid[j]
 
 
-def _most(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+class Maps:
+    """Bitmaps of rows, those of one size as a table of 64-bit words."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) // 8 for m in maps], np.int64)
+        self.place = np.zeros(len(maps), np.int64)
+        self.table = {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.place[rows] = np.arange(len(rows))
+            self.table[w] = np.frombuffer(b"".join(maps[k] for k in rows), np.uint64).reshape(-1, w)
+
+    def lacking(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bits of row i each of the rows j lacks, and row i of theirs; of two sizes the larger bitmap is folded to the smaller."""
+        fewer, more = np.zeros(len(j), np.int64), np.zeros(len(j), np.int64)
+        words = self.words[j]
+        for w in np.unique(words).tolist():
+            some = np.flatnonzero(words == w)
+            both = min(w, int(self.words[i]))
+            own = np.bitwise_or.reduce(self.table[int(self.words[i])][self.place[i]].reshape(-1, both), axis=0)
+            other = self.table[w][self.place[j[some]]]
+            if w > both:
+                other = np.bitwise_or.reduce(other.reshape(len(some), -1, both), axis=1)
+            fewer[some] = np.bitwise_count(own & ~other).sum(axis=1, dtype=np.int64)
+            more[some] = np.bitwise_count(other & ~own).sum(axis=1, dtype=np.int64)
+        return fewer, more
+
+
+def _most(at: np.ndarray, maps: Maps, i: int, j: np.ndarray) -> np.ndarray:
     """What the overlaps of set i and the sets j are at most, by their bitmaps."""
-    n, own = at >> 32, maps[i]
-    fewer = np.bitwise_count(own & ~maps[j]).sum(axis=1, dtype=np.int64)
-    more = np.bitwise_count(maps[j] & ~own).sum(axis=1, dtype=np.int64)
+    n = at >> 32
+    fewer, more = maps.lacking(i, j)
     return np.minimum(n[i] - fewer, n[j] - more)
 
 
-def _may(at: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+def _may(at: np.ndarray, maps: Maps, i: int, j: np.ndarray) -> np.ndarray:
     """Which of the sets j can be similar to the set i, by size, place and bitmap."""
     n = at >> 32
-    return _fits(at, np.full(len(j), i), j) & alike(_most(at, maps, i, j), n[i], n[j])
+    can = _fits(at, np.full(len(j), i), j)
+    k = j[can]
+    can[can] = alike(_most(at, maps, i, k), n[i], n[k])
+    return can
 
 
-def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray) -> list[np.ndarray]:
+def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: Maps) -> list[np.ndarray]:
     """A spanning forest, for each key, of the pairs that can be similar or are of one part: (gram, at, sid, part, sid and part of the set it hangs on,
     sid of the tree's root), for the trees with more than one part. gram is sorted."""
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
@@ -175,7 +209,7 @@ def part_forest(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndar
     return [gram[k], at[k], sid[k], part[k], sid[h], part[h], sid[r]]
 
 
-def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: np.ndarray, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def part_pairs(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray, maps: Maps, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Of sets under equal keys in different parts all pairs that can be similar; with best only the pair, of each two parts, whose overlap can be the
     largest share. gram is sorted."""
     start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
@@ -213,29 +247,52 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _runs(batches, lambda *cols: _batch(*star_pairs(*cols)))
 
 
+def paired(gram: np.ndarray, at: np.ndarray, sid: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which rows have one of another part under their key that they can be similar to by size and place. gram is sorted."""
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    size = np.diff(np.r_[start, len(gram)])
+    many = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start) if len(gram) else size > 0
+    keep = np.zeros(len(gram), bool)
+    row = np.flatnonzero(np.repeat(many & (size <= simhash.SMALL_GROUP), size))
+    for d in range(1, int(size[many & (size <= simhash.SMALL_GROUP)].max(initial=0))):
+        i, j = row[:-d], row[d:]
+        same = (gram[i] == gram[j]) & (part[i] != part[j])
+        i, j = i[same], j[same]
+        fit = _fits(at, i, j)
+        keep[i[fit]] = True
+        keep[j[fit]] = True
+    many &= size > simhash.SMALL_GROUP
+    for s, k in zip(start[many].tolist(), size[many].tolist()):
+        for i in range(s, s + k):
+            if not keep[i]:
+                j = np.arange(s, s + k)
+                j = j[part[j] != part[i]]
+                j = j[_fits(at, np.full(len(j), i), j)]
+                keep[j] = True
+                keep[i] = len(j) > 0
+    return keep
+
+
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose key has sets of more than one part."""
+    """The rows that paired() keeps."""
 
     def work(*cols: np.ndarray) -> pa.RecordBatch:
-        gram, part = cols[0], cols[3]
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        many = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
-        keep = np.repeat(many, np.diff(np.r_[start, len(gram)]))
+        keep = paired(*cols)
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["gram", "at", "sid", "part"])
 
     yield from _runs(batches, work)
 
 
-def _bits(maps: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(maps.tolist()), np.uint64).reshape(len(maps), -1)
+#: Rows with bitmaps that a worker holds at once, but for those of one key.
+MAPPED = 1 << 13
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _runs(batches, lambda *cols: pa.RecordBatch.from_arrays([pa.array(c) for c in part_forest(*cols[:4], _bits(cols[4]))], _TREE))
+    yield from _runs(batches, lambda *cols: pa.RecordBatch.from_arrays([pa.array(c) for c in part_forest(*cols[:4], Maps(cols[4].tolist()))], _TREE), MAPPED)
 
 
 def _across(best: bool):
-    return lambda batches: _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], _bits(cols[4]), best)))
+    return lambda batches: _runs(batches, lambda *cols: _batch(*part_pairs(*cols[:4], Maps(cols[4].tolist()), best)), MAPPED)
 
 
 _TREE = ["gram", "at", "sid", "part", "hung", "hung_part", "root"]
@@ -350,21 +407,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return table.repartition("gram").sortWithinPartitions("gram", "at", "sid")
 
     def parted(table: DataFrame) -> DataFrame:
-        """The rows of the table, with bitmaps, whose key has more than one component of the links so far."""
+        """The rows of the table, with bitmaps, that can be similar by size and place to one of another component of the links so far."""
         own = table.select("gram", "at", "sid").join(roots, "sid", "left").select("gram", "at", "sid", F.coalesce("root", "sid").alias("part"))
         mixed = materialise(by_gram(own).mapInArrow(given_back(_mixed), "gram long, at long, sid long, part long"))
         return by_gram(mixed.join(maps, "sid").select("gram", "at", "sid", "part", "map"))
 
-    links = verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts, rows)
-    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+    def merged(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(sid, root) of the components of the links and of those known."""
+        both = links if known is None else links.unionByName(known.toDF("a", "b"))
+        return connected_components(both).select(F.col("node").alias("sid"), "root")
+
+    roots = merged(verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts, rows))
     trees = materialise(parted(shared).mapInArrow(given_back(_forest), ", ".join(f"{c} long" for c in _TREE)))
     pairs = trees.where("sid <> hung and part <> hung_part").select(F.least("sid", "hung").alias("a"), F.greatest("sid", "hung").alias("b")).distinct()
-    links = links.unionByName(verified(materialise(pairs), texts, rows))
-    roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+    roots = merged(verified(materialise(pairs), texts, rows), roots)
     rest = trees.select(F.xxhash64("gram", "root").alias("gram"), "at", "sid")
     for best in (True, False):
-        links = links.unionByName(verified(materialise(parted(rest).mapInArrow(given_back(_across(best)), "a long, b long").distinct()), texts, rows))
-        roots = connected_components(links).select(F.col("node").alias("sid"), "root")
+        pairs = parted(rest).mapInArrow(given_back(_across(best)), "a long, b long").distinct()
+        roots = merged(verified(materialise(pairs), texts, rows), roots)
     one = keyed.groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     kept = one.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least"))
     i, k, own = fresh_names(docs.columns, "kept_id", "kept_key", "key")

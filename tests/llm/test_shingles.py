@@ -52,7 +52,7 @@ def test_near_copies_from_similarity_080_are_found(spark):
 
 def test_groups_have_all_pairs_and_odd_rows_stay(spark):
     key = np.repeat(np.arange(3), [2, 40, 1])
-    sid, at, maps = np.arange(43), np.full(43, 10 << 32), np.ones((43, 32), np.uint64)
+    sid, at, maps = np.arange(43), np.full(43, 10 << 32), shingles.Maps([b"\1" * 128] * 43)
     assert len(shingles.star_pairs(key, at, sid)[0]) == 1 + 39
     assert len(shingles.part_pairs(key, at, sid, sid, maps)[0]) == 1 + 40 * 39 // 2
     assert len(shingles.part_pairs(key, at, sid, np.zeros(43), maps)[0]) == 0
@@ -70,8 +70,22 @@ def test_a_bitmap_never_bounds_the_overlap_too_low():
 
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
-    for size in (1, 50, 400, 6000):
+    for size in (1, 50, 400, 1000, 6000):
         x, y = np.unique(pool[:size]), np.unique(pool[size // 10 : size + size // 10])
-        cols = [pa.array([1]), pa.array([2]), pa.array([len(x)]), pa.array([shingles.bitmap(x)]), pa.array([len(y)]), pa.array([shingles.bitmap(y)])]
+        cols = [pa.array([1]), pa.array([2]), pa.array([len(x)]), pa.array([shingles.bitmap(x, shingles.map_size(len(x)))]), pa.array([len(y)]), pa.array([shingles.bitmap(y, shingles.map_size(len(y)))])]
+        maps = shingles.Maps([c.to_pylist()[0] for c in (cols[3], cols[5])])
+        assert shingles._most(np.array([len(x), len(y)]) << 32, maps, 0, np.array([1]))[0] >= len(np.intersect1d(x, y))
         out = list(shingles._possible([pa.RecordBatch.from_arrays(cols, list("abnxmy"))]))
         assert len(out[0]) == 1 or not shingles.alike(len(np.intersect1d(x, y)), len(x), len(y))
+
+
+def test_rows_are_kept_if_a_partner_fits():
+    gram, at = np.array([1, 1, 1, 2, 2]), np.array([100 << 32, (100 << 32) + 16, 90 << 32, 100 << 32, 50 << 32])
+    assert shingles.paired(gram, at, np.arange(5), np.arange(5)).tolist() == [True, False, True, False, False]
+    assert shingles.paired(gram, at, np.arange(5), np.zeros(5)).tolist() == [False] * 5
+    rng = np.random.default_rng(3)
+    gram = np.repeat(np.arange(40), rng.integers(1, 80, 40))
+    n = len(gram)
+    at, part = (rng.integers(50, 90, n) << 32) + rng.integers(0, 12, n), rng.integers(0, 4, n)
+    brute = [bool(((gram == gram[i]) & (part != part[i]) & shingles._fits(at, np.full(n, i), np.arange(n))).any()) for i in range(n)]
+    assert shingles.paired(gram, at, np.arange(n), part).tolist() == brute
