@@ -1,4 +1,4 @@
-"""Memory of reused Python workers."""
+"""Memory of the driver and of reused Python workers."""
 
 from __future__ import annotations
 
@@ -8,13 +8,18 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same function of Arrow batches; at a partition's end the worker gives free memory back to the system, since a later stage has the same worker."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-            trim(0)
+        give_back()
 
     return whole

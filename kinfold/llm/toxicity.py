@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
-from kinfold.llm.memory import given_back
+from kinfold.llm.memory import give_back, given_back
 from kinfold.llm.wordhash import Tokens, chunks, code_points, mix, tokens
 
 BITS = 20
@@ -294,8 +294,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic",
         got = got.drop_columns([name])
     stems = [flat[f"stem{k}"].view(np.uint32).astype(np.uint64) << np.uint64(32) for k in STEMS]  # the upper half is enough for places and names
     del got
-    pa.default_memory_pool().release_unused()
-    return train_crf(Words(doc, flat["sentence"], flat["word"].view(np.uint64), stems, flat["capital"].astype(bool)), toxic)
+    give_back()
+    words = Words(doc, flat["sentence"], flat["word"].view(np.uint64), stems, flat["capital"].astype(bool))
+    del doc, flat, stems
+    model = train_crf(words, toxic)
+    del words
+    give_back()
+    return model
 
 
 def tag(t: Tokens, m: Model) -> tuple[np.ndarray, np.ndarray]:
