@@ -9,10 +9,13 @@ from kinfold import validate
 from kinfold.runtime import discard, materialise
 
 
-def _starred(e: DataFrame) -> bool:
-    """Whether every node has one edge up at most, and none up if it has some down: then each star is a whole component."""
-    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").head(1)
+def _state(both: DataFrame) -> tuple[int, int, bool]:
+    """Of edges in both directions: their number, the most of one node, and whether a star is not a whole component yet, as a node has
+    several edges up, or one and some down. One aggregation for all three."""
+    up, down = F.count_if(F.expr("v < u")), F.count_if(F.expr("v > u"))
+    each = both.groupBy("u").agg(F.count("*").alias("n"), ((up > 1) | (up > 0) & (down > 0)).alias("open"))
+    ends, top, left = each.agg(F.sum("n"), F.max("n"), F.max("open")).first()
+    return ends or 0, top or 0, bool(left)
 
 
 #: Nodes with more than this many edges, and more than one in HUB_SHARE of all edges, are joined by broadcast: there are 2 * HUB_SHARE of them at most.
@@ -43,10 +46,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     ends = edges.select(u.alias("u"), v.alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     now = materialise(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _starred(now):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends, top, unfinished = _state(both)
+        if not unfinished:
+            break
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        ends, top = low.agg(F.sum("n"), F.max("n")).first()
         most = max(HUB_EDGES, ends // 2 // HUB_SHARE)
         most = most if top > most else None  # no node has more edges after large-star than before
         large = _with_low(both.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
