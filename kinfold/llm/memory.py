@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def give_back() -> None:
@@ -15,6 +17,13 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """Garbage of ended queries goes, and with it their shuffle files; the driver's heap shrinks to what it needs."""
+    gc.collect()
+    give_back()
+    spark._jvm.java.lang.System.gc()
+
+
 def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same function of Arrow batches; at a partition's end the worker gives free memory back to the system, since a later stage has the same worker."""
 

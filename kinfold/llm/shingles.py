@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import simhash
-from kinfold.llm.memory import given_back
+from kinfold.llm.memory import driver_gives_back, given_back
 from kinfold.llm.names import fresh_names
 from kinfold.operators.graph import connected_components
 from kinfold.runtime import discard, materialise
@@ -415,7 +415,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def merged(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """(sid, root) of the components of the links and of those known."""
         both = links if known is None else links.unionByName(known.toDF("a", "b"))
-        return connected_components(both).select(F.col("node").alias("sid"), "root")
+        out = connected_components(both).select(F.col("node").alias("sid"), "root")
+        driver_gives_back(docs.sparkSession)
+        return out
 
     roots = merged(verified(materialise(by_gram(shared).mapInArrow(given_back(_stars), "a long, b long").unionByName(simhash_pairs(keyed)).distinct()), texts, rows))
     trees = materialise(parted(shared).mapInArrow(given_back(_forest), ", ".join(f"{c} long" for c in _TREE)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
-from kinfold.llm.memory import give_back, given_back
+from kinfold.llm.memory import driver_gives_back, give_back, given_back
 from kinfold.llm.wordhash import Tokens, chunks, code_points, mix, tokens
 
 BITS = 20
@@ -299,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic",
     del doc, flat, stems
     model = train_crf(words, toxic)
     del words
-    give_back()
+    driver_gives_back(docs.sparkSession)
     return model
 
 
