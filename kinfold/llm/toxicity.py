@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import labelled
-from kinfold.llm.memory import driver_gives_back, given_back
+from kinfold.llm.memory import give_back, given_back
 from kinfold.llm.wordhash import Tokens, chunks, code_points, mix, tokens
 
 BITS = 20
@@ -213,11 +213,16 @@ def gold_tags(w: Words, toxic: np.ndarray) -> np.ndarray:
     return out & toxic[w.doc]
 
 
+def untrained() -> Model:
+    """What there is without a word to learn from."""
+    return Model(np.zeros(1 << BITS, np.float32), -8.0, 0.0, np.zeros((2, 2)), (-4.0, 1.0))
+
+
 def train_crf(w: Words, toxic: np.ndarray, steps: int = 20, rate: float = 0.2, decay: float = 1e-4) -> Model:
     """Fits the field to tagged words by full-gradient Adagrad from smoothed log odds, then the document level. toxic: of each document."""
     width = 1 << BITS
     if not len(toxic) or not len(w.word):
-        return Model(np.zeros(width, np.float32), -8.0, 0.0, np.zeros((2, 2)), (-4.0, 1.0))
+        return untrained()
     gold = gold_tags(w, toxic)
     first, size = chains(w.doc, w.sentence)
     at = w.features()
@@ -281,26 +286,42 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "y", "word", "sentence", "capital", *(f"stem{k}" for k in STEMS)])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of at most per_class labelled documents of each class; of rows with one id all texts count, as one label's."""
-    rows = labelled.sample(docs, labels, label, train_rows, per_class, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(_rows, f"id {kind}, y int, {_ROW}").orderBy(F.col("id").cast("string"), F.size("word")).drop("id").toArrow()
+_MODEL = "weight binary, bias double, capital double, move array<double>, level array<double>"
+
+
+def _fitted(got: pa.Table) -> pa.Table:
+    """The model of all training rows, as one row of _MODEL. They are put in order by id, so that sums do not depend on how rows arrive."""
+    got = got.append_column("n", pa.compute.list_value_length(got["word"]))
+    got = got.take(pa.compute.sort_indices(got.select(["id", "n"]), sort_keys=[("id", "ascending"), ("n", "ascending")]))
     toxic = got["y"].to_numpy() == 1
-    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), pa.compute.list_value_length(got["word"]).to_numpy())
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), got["n"].to_numpy())
+    got = got.select(["word", "sentence", "capital", *(f"stem{k}" for k in STEMS)])
     flat = {}
-    for name in got.column_names[1:]:  # a column leaves the table as soon as it is an array
+    for name in got.column_names:  # a column leaves the table as soon as it is an array
         flat[name] = got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         got = got.drop_columns([name])
     stems = [flat[f"stem{k}"].view(np.uint32).astype(np.uint64) << np.uint64(32) for k in STEMS]  # the upper half is enough for places and names
-    del got
-    driver_gives_back(docs.sparkSession)
     words = Words(doc, flat["sentence"], flat["word"].view(np.uint64), stems, flat["capital"].astype(bool))
     del doc, flat, stems
-    model = train_crf(words, toxic)
+    m = train_crf(words, toxic)
     del words
-    driver_gives_back(docs.sparkSession)
-    return model
+    give_back()
+    lists = [pa.array([x], pa.list_(pa.float64())) for x in (m.move.ravel().tolist(), list(m.level))]
+    return pa.Table.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias], pa.float64()), pa.array([m.capital], pa.float64()), *lists], ["weight", "bias", "capital", "move", "level"])
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of at most per_class labelled documents of each class; of rows with one id all texts count, as one label's.
+
+    One task trains, on an executor: its working arrays are many times the sample, and the driver gets the finished model only, of 4 MB.
+    """
+    rows = labelled.sample(docs, labels, label, train_rows, per_class, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    words = rows.mapInArrow(given_back(_rows), f"id string, y int, {_ROW}")
+    got = words.groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, _MODEL).collect()
+    if not got:  # no labelled row
+        return untrained()
+    m = got[0]
+    return Model(np.frombuffer(m.weight, np.float32), m.bias, m.capital, np.array(m.move).reshape(2, 2), tuple(m.level))
 
 
 def tag(t: Tokens, m: Model) -> tuple[np.ndarray, np.ndarray]:

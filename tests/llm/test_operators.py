@@ -485,6 +485,35 @@ def test_toxicity_tags_words_and_documents(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.5}
 
 
+def test_toxicity_trains_in_a_task_and_not_on_the_driver(spark, monkeypatch):
+    import pyarrow as pa
+
+    def make(y, rng):
+        words = [rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(20, 60))]
+        for _ in range(4 * y):
+            words.insert(rng.randint(0, len(words)), rng.choice(["GRUBBY", "vile", "nasty"]))
+        return ". ".join(words)
+
+    table, labels = labelled_rows(spark, random.Random(14), make)
+    rows = sorted(((str(r.doc_id), r.text, r.y) for r in table.join(labels, "doc_id").collect()))
+    each = [toxicity.words_of(toxicity.tokens(pa.array([text], pa.large_string()), words_only=True)) for _, text, _ in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w.word) for w in each])
+    upper = np.uint64(0xFFFFFFFF00000000)
+    words = toxicity.Words(doc, *(np.concatenate([getattr(w, k) for w in each]) for k in ("sentence", "word")), [np.concatenate([w.stems[k] for w in each]) & upper for k in range(len(toxicity.STEMS))], np.concatenate([w.capital for w in each]))
+    want = toxicity.train_crf(words, np.array([y for _, _, y in rows]) == 1)
+
+    def never(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(toxicity, "train_crf", never)
+    got = toxicity.train(table, labels, lambda c: F.lit(True), label="y")
+    assert want.capital != 0 and np.array_equal(got.weight, want.weight) and np.array_equal(got.move, want.move)
+    assert (got.bias, got.capital, got.level) == (want.bias, want.capital, want.level)
+    for few in (docs(spark, []), docs(spark, [(1, None), (2, "")])):
+        none = toxicity.train(few, labels, lambda c: F.lit(True), label="y")
+        assert not none.weight.any() and none.level == (-4.0, 1.0)
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
