@@ -363,6 +363,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     out = materialise(both.where(alike(overlap, F.size("x"), F.size("y"))).select("a", "b"))
     for done in (near, own, pairs):
         discard(done)
+    driver_gives_back(pairs.sparkSession)
     return out
 
 

@@ -514,6 +514,18 @@ def test_toxicity_trains_in_a_task_and_not_on_the_driver(spark, monkeypatch):
         assert not none.weight.any() and none.level == (-4.0, 1.0)
 
 
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    from kinfold.llm import memory
+
+    if not hasattr(memory.ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("no glibc")
+    assert memory.trim_jvm(spark).startswith("Trim native heap")
+    said = []
+    monkeypatch.setattr(memory, "trim_jvm", said.append)
+    memory.driver_gives_back(spark)
+    assert said == [spark]
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
