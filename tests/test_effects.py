@@ -1,5 +1,6 @@
 """Effects and statistics against plain Python and known values."""
 
+import hashlib
 import math
 import random
 
@@ -109,3 +110,13 @@ def test_cluster_bootstrap_bounds(spark):
 def test_first_groups_keep_input_order(spark):
     df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "c")], "i int, k string")
     assert sorted(r.i for r in effects.first_groups(df, ["k"], "i", 2).collect()) == [0, 1, 2]
+
+
+def test_resamples_of_so_many_draws(spark):
+    """The registered bootstrap draws 10,000 values at most, as its SQL does; where there are fewer families, as many as there are."""
+    rows = spark.createDataFrame([(i, float(i * i % 7)) for i in range(30)], "i int, value double")
+    for draws, most in ((None, 30), (12, 12), (99, 30)):
+        got = {r.replicate: r["mean"] for r in stats.resamples(rows, 5, 5, "treated", draws).collect()}
+        for b in range(5):
+            picked = [int(hashlib.sha256(f"5\0treated\0{b}\0{j}".encode()).hexdigest()[:8], 16) % 30 for j in range(most)]
+            assert math.isclose(got[b], sum(i * i % 7 for i in picked) / most, abs_tol=1e-12)
