@@ -271,3 +271,16 @@ def test_both_ways_to_simulate_agree(spark):
         got = simulation.simulate(nodes, edges, plans, (1, 2), largest=-1, in_memory_up_to=most)
         rows.append(sorted((tuple((c, round(v, 9) if isinstance(v, float) else v) for c, v in sorted(r.asDict().items())) for r in got.collect()), key=str))
     assert len(rows[0]) == 2 * len(plans) and rows[0] == rows[1]
+
+
+def test_census_draws_are_not_shuffled(spark):
+    """The same draws as uniform() makes, with one exchange before the rows are taken once for each run."""
+    files = spark.createDataFrame([(f"i{i}", f"f{i % 40}") for i in range(200)], "id string, family_id string")
+    got = Counter((r.run, r.family_id, r.split) for r in census.file_draws(files, 7, 3, (0.8, 0.1, 0.1)).collect())
+    u = lambda run, i: int(sha(3, run, f"i{i}")[:8], 16) / 2**32
+    assert got == Counter((run, f"f{i % 40}", 0 if u(run, i) < 0.8 else 1 if u(run, i) < 0.9 else 2) for run in range(7) for i in range(200))
+    drawn = census.file_draws(files, 7, 3, (0.8, 0.1, 0.1)).groupBy("run", "family_id").count()
+    drawn.collect()
+    assert drawn._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    edges = spark.createDataFrame([(f"{n:08x}" + "0" * 56,) for n in (0, 3435973836, 3435973837, 2**32 - 1)], "h string")
+    assert [r.b for r in edges.select(census.below(F.col("h"), 0.8).alias("b")).collect()] == [n / 2**32 < 0.8 for n in (0, 3435973836, 3435973837, 2**32 - 1)]
