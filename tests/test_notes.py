@@ -212,3 +212,42 @@ def test_file_sources(spark, tmp_path):
     assert [r.token_ids for r in sequences.unpack(flat, spans).orderBy("slot").collect()] == [[1, 2, 3], [4, 5]]
     files.write_table(packed.select("slot", "prompt"), f"{p}/csv")
     assert files.numbers(files.read_table(spark, f"{p}/csv"), ["slot"]).agg(F.sum("slot")).first()[0] == 1.0
+
+
+def plain_harmony(slots, sizes, limit=None, most=None):
+    """(token, tf) of one piece by listing all of its half beats."""
+    first = min(slots)
+    line = [slots.get(s, 0) for s in range(first, max(slots) + 1)][:most]
+    out: dict = {}
+    for n in sizes:
+        runs = len(line) - n + 1
+        for k in range(0, max(runs, 0), 1 if limit is None else max(1, math.ceil(runs / limit))):
+            least = min([((m << s) | (m >> (12 - s))) & 4095 for m in line[k : k + n]] for s in range(12))
+            token = f"h{n}:" + ",".join(map(str, least))
+            out[token] = out.get(token, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("limit, most", [(None, None), (7, 90), (512, 2048)])
+def test_harmony_takes_whole_pieces(spark, limit, most):
+    """Pieces of up to 5,000 half beats, of which a cut at 2,048 would lose most; also a piece of one note and a dense one."""
+    rng = np.random.default_rng(4)
+    rows = [(p, float(rng.integers(0, 2500)), int(rng.integers(0, 128))) for p in range(6) for _ in range(80)] + [(6, 3.0, 61)] + [(7, i / 2, 60 + i % 9) for i in range(40)]
+    got: dict = {}
+    for r in features.harmony_bags(spark.createDataFrame(rows, "piece int, onset double, pitch int"), limit=limit, most=most).collect():
+        assert r.grp == "harmony" and r.token not in got.setdefault(r.piece, {})
+        got[r.piece][r.token] = r.tf
+    for p in range(8):
+        slots: dict = {}
+        for q, onset, pitch in rows:
+            if q == p:
+                slots[round(onset * 2)] = slots.get(round(onset * 2), 0) | 1 << pitch % 12
+        assert got.get(p, {}) == plain_harmony(slots, (2, 4, 8), limit, most)
+
+
+def test_half_beats_and_steps_are_whole(spark):
+    far = spark.createDataFrame([(1, 0.0, 60), (1, 2000.0, 61)], "piece int, onset double, pitch int")
+    assert features.half_beats(far).count() == 4001 and features.half_beats(far, most=2048).count() == 2048
+    steps = spark.createDataFrame([(1, k, k % 5, 0, k % 7) for k in range(5000)], "piece int, seq int, melody int, bass int, rhythm int")
+    total = {r.grp: r.n for r in features.step_bags(steps).groupBy("grp").agg(F.sum("tf").alias("n")).collect()}
+    assert total == {"melody": 4 * 5000 - 10, "bass": 4 * 5000 - 10, "rhythm": 3 * 5000 - 6, "motif": 4998}
