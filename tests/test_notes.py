@@ -251,3 +251,37 @@ def test_half_beats_and_steps_are_whole(spark):
     steps = spark.createDataFrame([(1, k, k % 5, 0, k % 7) for k in range(5000)], "piece int, seq int, melody int, bass int, rhythm int")
     total = {r.grp: r.n for r in features.step_bags(steps).groupBy("grp").agg(F.sum("tf").alias("n")).collect()}
     assert total == {"melody": 4 * 5000 - 10, "bass": 4 * 5000 - 10, "rhythm": 3 * 5000 - 6, "motif": 4998}
+
+
+def test_json_map_in_parts(spark, tmp_path):
+    """Many parts, one object: keys sorted, no part holds all; odd texts come back; other layouts of the same object are read too."""
+    rows = [(f"k{i:04d}", f"v{i}") for i in range(2000)] + [('"q", {x}\\', "a},{b\n"), ("", "empty"), (",", "{"), ("none", None)]
+    df = spark.createDataFrame(rows, "id string, family_id string").repartition(3)
+    path = str(tmp_path / "map")
+    files.write_json_map(df, path, compression="gzip")
+    found = sorted((tmp_path / "map").glob("part-*"))
+    texts = [gzip.open(p, "rt", newline="").read() for p in found]
+    whole = json.loads("".join(texts))
+    assert whole == dict(rows) and list(whole) == sorted(whole) and max(map(len, texts)) < 0.6 * sum(map(len, texts))
+    assert sorted(map(repr, map(tuple, files.read_json_map(spark, path).collect()))) == sorted(map(repr, rows))
+    for k, text in enumerate((json.dumps(dict(rows)), json.dumps(dict(rows), indent=2), json.dumps(dict(rows)).replace(": ", ":\n"))):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert sorted(map(repr, map(tuple, files.read_json_map(spark, str(tmp_path / f"{k}.json")).collect()))) == sorted(map(repr, rows))
+    with pytest.raises(Exception, match="repeated key"):
+        files.write_json_map(df.unionByName(df.where("id = 'k0001'")), str(tmp_path / "twice"))
+
+
+def test_neighbour_rows_are_not_sorted_whole(spark, monkeypatch):
+    """Many equal distances, text ids, several chunks: the same neighbours as a full sort."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, size=(150, 3)).astype(float) + 1e-9
+    ids = [f"n{i}" for i in range(150)]
+    monkeypatch.setattr(features, "BLOCK", 40)
+    got: dict = {}
+    for r in features.knn_cosine(spark.createDataFrame(list(zip(ids, v.tolist())), "piece string, vector array<double>"), 6).collect():
+        got.setdefault(r.a, {})[r.rank] = r.b
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    d = np.round(1 - u @ u.T, 12)
+    for i, a in enumerate(ids):
+        want = sorted((j for j in range(150) if j != i), key=lambda j: (d[i, j], ids[j]))[:6]
+        assert sorted(got[a]) == [1, 2, 3, 4, 5, 6] and all(np.isclose(d[i, ids.index(got[a][k + 1])], d[i, j], atol=3e-12) for k, j in enumerate(want))
