@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold import validate
 from kinfold.hashing import stable
-from kinfold.runtime import materialise
+from kinfold.runtime import materialise, parts
 
 
 def protected_rows(base: DataFrame, families: DataFrame, ids: DataFrame) -> DataFrame:
@@ -96,11 +96,14 @@ class FreeFiles:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, hashes, ids, free = [], [], [], None
+    """Reads clusters one after the other, each with its files before its donors, and holds the files of one cluster."""
+    tokens, hashes, ids, free, now = [], [], [], None, None
     names = ("donor", "family_id", "removed", "removed_tokens")
     for b in batches:
         rows = []
-        for donor, tie, i, t in zip(*(b.column(n).to_pylist() for n in ("donor", "tie", "id", "tokens"))):
+        for cluster, donor, tie, i, t in zip(*(b.column(n).to_pylist() for n in ("cluster", "donor", "tie", "id", "tokens"))):
+            if cluster != now:
+                tokens, hashes, ids, free, now = [], [], [], None, cluster
             if not donor:
                 tokens.append(t)
                 hashes.append(tie)
@@ -115,15 +118,33 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64()))], list(names))
 
 
+def clusters(donors: DataFrame, pool: DataFrame) -> DataFrame:
+    """(tokens, cluster) of the token counts of those clusters that have donors: stretches of the line of counts that no donor's choice leaves or enters.
+
+    Between two counts, no choice crosses to the right if no stretch that ends there has more donors than files: at the first crossing, all files
+    from the donor's place to the border would be taken, and by donors of that stretch alone. The same holds to the left. So a border with neither
+    is never crossed, and clusters can be matched apart. One row for each different count goes through one window.
+    """
+    each = pool.select("tokens", F.lit(-1).alias("n")).unionByName(donors.select("tokens", F.lit(1).alias("n")))
+    line = Window.orderBy("tokens")
+    counts = each.groupBy("tokens").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("donors")).withColumn("s", F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    lowest = F.min(F.col("s") - F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    highest = F.max("s").over(Window.orderBy(F.desc("tokens")).rowsBetween(Window.unboundedPreceding, -1))  # a frame to the end is taken anew for each row
+    closed = counts.withColumn("closed", (F.col("s") <= lowest) & (F.coalesce(highest, F.col("s")) <= F.col("s")))
+    numbered = closed.withColumn("cluster", F.coalesce(F.sum(F.col("closed").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return numbered.withColumn("any", F.sum("donors").over(Window.partitionBy("cluster"))).where("any > 0").select("tokens", "cluster")
+
+
 def match_donors(donors: DataFrame, pool: DataFrame, seed: int | str = 0) -> DataFrame:
     """(donor, family_id, removed, removed_tokens, donor_tokens, ...): donors in order of family and id take the free pool file of nearest tokens, ties
     by hash of seed and id; no file serves twice.
 
-    Every choice depends on those before, so one task reads the sorted stream of pool files (id, hash, tokens) and donors.
+    A choice depends on those before it in the same of clusters() only, so tasks read the sorted streams of pool files (id, hash, tokens) and donors of one cluster after the other.
     """
     own = donors.select(F.col("id").cast("string").alias("id"), F.col("tokens").cast("double").alias("tokens"), F.col("family_id").cast("string").alias("tie"), F.lit(True).alias("donor"))
     files = pool.select(F.col("id").cast("string").alias("id"), F.col("tokens").cast("double").alias("tokens"), stable(seed, F.col("id")).alias("tie"), F.lit(False).alias("donor"))
-    stream = files.unionByName(own).repartition(1).sortWithinPartitions("donor", F.when(~F.col("donor"), F.col("tokens")), "tie", "id")
+    known = materialise(clusters(own, files))
+    stream = files.unionByName(own).join(known, "tokens").repartition(parts(pool, 4.0), "cluster").sortWithinPartitions("cluster", "donor", F.when(~F.col("donor"), F.col("tokens")), "tie", "id")
     got = stream.mapInArrow(_match, "donor string, family_id string, removed string, removed_tokens double")
     out = got.join(own.select(F.col("id").alias("donor"), F.col("tokens").alias("donor_tokens")), "donor").withColumn("signed_difference", F.col("donor_tokens") - F.col("removed_tokens"))
     return out.withColumn("absolute_difference", F.abs("signed_difference")).withColumn("relative_difference", F.col("absolute_difference") / F.col("removed_tokens"))

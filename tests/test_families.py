@@ -284,3 +284,19 @@ def test_census_draws_are_not_shuffled(spark):
     assert drawn._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     edges = spark.createDataFrame([(f"{n:08x}" + "0" * 56,) for n in (0, 3435973836, 3435973837, 2**32 - 1)], "h string")
     assert [r.b for r in edges.select(census.below(F.col("h"), 0.8).alias("b")).collect()] == [n / 2**32 < 0.8 for n in (0, 3435973836, 3435973837, 2**32 - 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_donor_clusters_match_as_one_stream(spark, seed):
+    """Crowded and loose token counts: clusters matched apart give what one pass over all donors gives."""
+    rng = random.Random(seed)
+    pool = [(f"p{i}", rng.choice([rng.randint(1, 30), rng.randint(100, 110), rng.randint(200, 900)])) for i in range(160)]
+    donors = [(f"d{i}", f"f{rng.randint(0, 50)}", rng.choice([rng.randint(1, 40), 105, rng.randint(150, 900)])) for i in range(70)]
+    free, want = dict(pool), {}
+    for d, f, t in sorted(donors, key=lambda x: (x[1], x[0])):
+        want[d] = min(free, key=lambda p: (abs(free[p] - t), sha(5, p)))
+        del free[want[d]]
+    make = lambda rows, shape: spark.createDataFrame(rows, shape)
+    own, files = make(donors, "id string, family_id string, tokens long"), make(pool, "id string, tokens long")
+    assert {r.donor: r.removed for r in contamination.match_donors(own, files, 5).collect()} == want
+    assert contamination.clusters(own, files).select("cluster").distinct().count() > 3
